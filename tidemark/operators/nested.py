@@ -40,8 +40,8 @@ def list_state(text: Column) -> Column:
 
 
 def _strict_list(t: Column) -> Column:
-    # the reader takes single quotes as well as double ones
-    return F.from_json(t, "array<string>", {"allowSingleQuotes": "true"})
+    # the reader takes single quotes as well as double ones; bare numbers keep their spelling
+    return F.when(~t.rlike("[\"']"), _loose_list(t)).otherwise(F.from_json(t, "array<string>", {"allowSingleQuotes": "true"}))
 
 
 def _loose_list(t: Column) -> Column:
