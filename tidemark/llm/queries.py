@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import leakage, mojibake, nearest, packing
+from tidemark.llm import leakage, linkage, mojibake, nearest, packing
 from tidemark.sources import load
 
 
@@ -13,6 +13,19 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return nearest.game_partners(*[load(spark, base, n) for n in ("games", "open_meteo", "odds_api")])
 
 
+def _sources(spark: SparkSession, base: str) -> list[DataFrame]:
+    return [load(spark, base, n) for n in ("odds_api", "kalshi_markets", "polymarket_events", "teams", "games")]
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return linkage.matched_pairs(*_sources(spark, base)).select("key_a", "key_b")
+
+
+def p7_confidence(spark: SparkSession, base: str) -> DataFrame:
+    pairs = linkage.matched_pairs(*_sources(spark, base))
+    return pairs.select("key_a", "key_b", F.round("confidence", 4).alias("confidence"))
+
+
 def p8_packed(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack(load(spark, base, "documents"))
 
@@ -36,6 +49,8 @@ def p10_restored(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     "p4_found": p4_found,
+    "p7_found": p7_found,
+    "p7_confidence": p7_confidence,
     "p8_packed": p8_packed,
     "p9_found": p9_found,
     "p9_removed": p9_removed,
