@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the session was made."""
+    sc = spark.sparkContext
+    paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT in paths:
+        return
+    sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    if not sc.master.startswith("local"):
+        bundle = shutil.make_archive(f"{tempfile.mkdtemp()}/tidemark", "zip", ROOT, "tidemark")
+        sc.addPyFile(bundle)
+
+
 def load(spark: SparkSession, base: str, name: str) -> DataFrame:
     """Table ``name`` under ``base``; the session clock is pinned to UTC."""
+    reach_workers(spark)
     if spark.conf.get("spark.sql.session.timeZone", "") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{base}/{name}.parquet")
