@@ -1,5 +1,5 @@
 """Readers for the tables the queries work on."""
 
-from tidemark.sources.tables import load, shared_dir, small_enough
+from tidemark.sources.tables import load, settled, shared_dir, small_enough, spread
 
-__all__ = ["load", "shared_dir", "small_enough"]
+__all__ = ["load", "settled", "shared_dir", "small_enough", "spread"]

@@ -52,3 +52,20 @@ def small_enough(df: DataFrame, limit_bytes: int) -> bool:
     """Whether the optimizer's own size estimate of ``df`` is within the limit."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     return int(stats.sizeInBytes().toString()) <= limit_bytes
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, whatever is lost later."""
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in at least as many partitions as the cluster has cores, for work heavy per row.
+
+    Only a table of fewer splits than cores is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= cores else df.repartition(3 * cores, key)
