@@ -91,7 +91,7 @@ def asof_join(
     both = r.unionByName(l, allowMissingColumns=True)
     up = Window.partitionBy(*by)
     if forward:
-        span = up.orderBy(F.desc("_us"), F.desc("_side"), F.desc("_tie"))
+        span = up.orderBy(F.desc("_us"), F.desc("_side"), "_tie")
     else:
         span = up.orderBy("_us", "_side", "_tie")
     hit = F.last("_hit", ignorenulls=True).over(span.rowsBetween(Window.unboundedPreceding, Window.currentRow))
