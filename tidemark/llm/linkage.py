@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.timestamps import normalise
+from tidemark.sources import settled
 
 K1, B = 1.2, 0.4
 SLOT_MINUTES, NEAR_MINUTES = 30, 45
@@ -357,7 +358,7 @@ def _code_votes(events: DataFrame, rows) -> dict[str, int]:
 def event_records(odds: DataFrame, markets: DataFrame, polys: DataFrame, teams: DataFrame) -> DataFrame:
     """key, src, pairs, starts, days, number, seen: what each event says about its game."""
     sc = teams.sparkSession.sparkContext
-    events = _events(odds, markets, polys)
+    events = settled(_events(odds, markets, polys), "events")
     rows = sc.broadcast(_team_rows(teams))
     codes = sc.broadcast(_code_votes(events, rows))
 
@@ -489,7 +490,9 @@ def calibrate(nearest: DataFrame, labels: DataFrame) -> tuple[float, float]:
 
 def linked_events(odds: DataFrame, markets: DataFrame, polys: DataFrame, teams: DataFrame, games: DataFrame) -> DataFrame:
     """key, src, game_pk, confidence of every event that finds its game."""
-    nearest = nearest_games(retrieve(event_records(odds, markets, polys, teams), game_attributes(games)))
+    records = settled(event_records(odds, markets, polys, teams), "records")
+    index = settled(game_attributes(games), "index")
+    nearest = settled(nearest_games(retrieve(records, index)), "nearest")
     labels = (
         odds.where("game_pk is not null and id is not null")
         .groupBy(F.concat(F.lit("odds:"), "id").alias("key"))
