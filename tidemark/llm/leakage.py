@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources import spread
+
 #: A leak: so many consecutive words of an item, with at most one edit in EDIT_IN of them.
 MIN_WORDS, EDIT_IN = 25, 6
 GRAM = 3
@@ -218,7 +220,7 @@ def leaked_spans(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["doc_id", "item_id", "start", "stop"])
 
-    slim = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    slim = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id")
     return slim.mapInArrow(run, "doc_id bigint, item_id bigint, start bigint, stop bigint")
 
 

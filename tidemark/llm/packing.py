@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources import shared_dir
+from tidemark.sources import shared_dir, spread
 
 CAPACITY = 2048
 DIMENSIONS, BITS = 4, 8
@@ -107,7 +107,7 @@ def _measure(path: str):
 
 def measure(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, curve of every text (null and empty texts: 0 tokens)."""
-    slim = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    slim = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id")
     return slim.mapInArrow(_measure(vocabulary), _MEASURED)
 
 
