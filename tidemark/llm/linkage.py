@@ -439,9 +439,15 @@ def retrieve(records: DataFrame, index: DataFrame) -> DataFrame:
     return found.select("key", "src", "game_pk", ((F.col("hour") + F.col("date") + agree) * F.col("norm") * late).alias("score"))
 
 
+#: Sources that may list a game more than once.
+REPEATING = ("odds",)
+
+
 def nearest_games(scored: DataFrame) -> DataFrame:
-    """key, src, game_pk, score, gap: each event's best game if the game's best event of that source isn't another by far.
+    """key, src, game_pk, score, gap: each event's best game, if it is the game's best event of that source too.
 
+    In a source that may list a game twice, events of a score near the best
+    are nearest as well.
     ``gap`` is the lead over the second-best game, relative to the best score.
     """
     mine = Window.partitionBy("key").orderBy(F.desc("score"), "game_pk")
@@ -452,7 +458,10 @@ def nearest_games(scored: DataFrame) -> DataFrame:
         .withColumn("gap", (F.col("score") - F.coalesce("next", F.lit(0.0))) / F.col("score"))
     )
     theirs = Window.partitionBy("game_pk", "src")
-    return best.withColumn("top", F.max("score").over(theirs)).where("score >= 0.35 * top").drop("rank", "next", "top")
+    place = F.row_number().over(theirs.orderBy(F.desc("score"), "key"))
+    near = F.col("src").isin(*REPEATING) & (F.col("score") >= 0.35 * F.col("top"))
+    placed = best.withColumns({"top": F.max("score").over(theirs), "place": place})
+    return placed.where(near | (F.col("place") == 1)).drop("rank", "next", "top", "place")
 
 
 def calibrate(nearest: DataFrame, labels: DataFrame) -> tuple[float, float]:
