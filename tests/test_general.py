@@ -275,3 +275,38 @@ def test_coverage(spark):
     l = spark.createDataFrame([("v", 1), ("v", 9)], "venue string, game int")
     got = {r.venue: (r.expected, r.covered, r.missing, r.unlisted, r.status) for r in health.coverage(e, l, "game", "venue").collect()}
     assert got == {"v": (2, 1, 1, 1, "partial"), "w": (1, 0, 1, 0, "unknown")}
+
+
+def test_greedy_assignment(spark):
+    pairs = spark.createDataFrame([("g", 1, "a", 5), ("g", 1, "b", 1), ("g", 2, "b", 0), ("g", 2, "a", 9), ("h", 3, "a", 4), ("h", None, "a", 1)], "k string, l int, r string, d int")
+    got = {(r.k, r.l, r.r) for r in temporal.greedy_assignment(pairs, ["k"], "l", "r", "d").collect()}
+    assert got == {("g", 2, "b"), ("g", 1, "a"), ("h", 3, "a")}
+
+
+def test_stream_import_is_exactly_once(spark, tmp_path):
+    schema = StructType([StructField("k", LongType()), StructField("as_of_ts", TimestampType()), StructField("v", StringType())])
+    spec = registry.TableSpec("t", registry.Kind.FACT, ("k",), schema)
+    rows = lambda ks: spark.createDataFrame([(k, at(0), "x") for k in ks], schema)
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    parse = lambda df: df.withColumn("ord", F.lit(1))
+    rows([1, 2]).write.mode("append").parquet(source)
+    assert archive.stream_import(spark, source, schema, target, spec, parse, "ord") == 2
+    rows([2, 3]).write.mode("append").parquet(source)
+    assert archive.stream_import(spark, source, schema, target, spec, parse, "ord") == 1
+    assert archive.stream_import(spark, source, schema, target, spec, parse, "ord") == 0
+    assert sorted(r.k for r in spark.read.parquet(target).collect()) == [1, 2, 3]
+
+
+def test_sessions_and_archive_layout(spark, tmp_path):
+    rows = [("v", at(0), 1), ("v", at(44), 2), ("v", at(100), 3), ("w", at(0), 4)]
+    df = spark.createDataFrame(rows, "venue string, fetched_at timestamp, n int")
+    assert sorted((r.venue, r.records) for r in archive.fetch_sessions(df).collect()) == [("v", 1), ("v", 2), ("w", 1)]
+    archive.write_archive(df, str(tmp_path / "a"))
+    assert spark.read.parquet(str(tmp_path / "a")).where("venue = 'v' and dt = '2021-04-01'").count() == 3
+
+
+def test_every_query_is_registered_once():
+    import __spark_entry__ as entry
+
+    names = entry.queries()
+    assert set(entry.oracle_sql()) <= set(names) and len(names) > 70

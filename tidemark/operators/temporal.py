@@ -141,3 +141,34 @@ def interval_overlap_count(points: DataFrame, at: str, spans: DataFrame, start:
     hits = spans.join(points.select(*on, at), list(on), "left")
     inside = (F.col(at) > F.col(start)) & (F.col(at) <= F.col(stop))
     return hits.groupBy(*spans.columns).agg(F.count_if(inside).alias("n"))
+
+
+def greedy_assignment(pairs: DataFrame, group: Sequence[str], left: str, right: str, distance: str) -> DataFrame:
+    """One-to-one pairs per group, nearest first; each side is used once.
+
+    Ties go by left, then right.  ``pairs`` holds one group's candidates within
+    the caller's range (say, two teams on neighbouring days), so a group is
+    small by nature; extra columns fall away.
+    """
+    import pandas as pd
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        used_l, used_r, keep = set(), set(), []
+        ordered = pdf.sort_values([distance, left, right], kind="stable")
+        for i, a, b in zip(ordered.index, ordered[left], ordered[right]):
+            if a not in used_l and b not in used_r:
+                used_l.add(a)
+                used_r.add(b)
+                keep.append(i)
+        return ordered.loc[keep]
+
+    slim = pairs.select(*group, left, right, distance).dropna(subset=[left, right, distance])
+    return slim.groupBy(*group).applyInPandas(assign, slim.schema)
+
+
+def reason_cascade(reasons: Sequence[tuple[str, Column]], otherwise: str) -> Column:
+    """Name of the first reason that holds; a null condition doesn't hold."""
+    out = None
+    for name, holds in reasons:
+        out = F.when(holds, name) if out is None else out.when(holds, name)
+    return out.otherwise(otherwise)

@@ -54,7 +54,29 @@ QUERIES = {
     "p6_found": p6_found,
 }
 
+_LIST = """CASE WHEN {0} IS NULL OR trim({0}) = '' THEN NULL WHEN {0} LIKE '"%' THEN CAST(json_extract_string('{{"v":' || {0} || '}}', '$.v') AS JSON)
+ELSE CAST(replace({0}, chr(39), '"') AS JSON) END"""
+
 SQL = {
+    "p5_found": f"""
+        WITH ob AS (SELECT rec_id, unnest(bookmakers) AS bk, generate_subscripts(bookmakers, 1) - 1 AS b FROM odds_api),
+        om AS (SELECT rec_id, b, unnest(bk.markets) AS mk, generate_subscripts(bk.markets, 1) - 1 AS m FROM ob),
+        oo AS (SELECT rec_id, b, m, mk.key AS k, unnest(mk.outcomes) AS o, generate_subscripts(mk.outcomes, 1) - 1 AS i FROM om),
+        pm AS (SELECT rec_id, unnest(markets) AS mk, generate_subscripts(markets, 1) - 1 AS m FROM polymarket_events),
+        pl AS (SELECT rec_id, m, CAST({_LIST.format("mk.outcomes")} AS VARCHAR[]) AS ls, CAST({_LIST.format("mk.outcomePrices")} AS VARCHAR[]) AS ps FROM pm),
+        pi AS (SELECT rec_id, m, ps, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM pl),
+        fd AS (SELECT rec_id, payload, coalesce(json_extract_string(payload, '$.gameData.game.pk'), json_extract_string(payload, '$.gamePk'), '') AS pk FROM mlb_game_feed),
+        fb AS (SELECT rec_id, pk, 'home' AS s, CAST(json_extract(payload, '$.liveData.boxscore.teams.home.battingOrder') AS VARCHAR[]) AS bo FROM fd UNION ALL
+               SELECT rec_id, pk, 'away', CAST(json_extract(payload, '$.liveData.boxscore.teams.away.battingOrder') AS VARCHAR[]) FROM fd),
+        fe AS (SELECT rec_id, pk, s, unnest(bo) AS id, generate_subscripts(bo, 1) - 1 AS n FROM fb),
+        fi AS (SELECT rec_id, pk, unnest(CAST(json_extract(payload, '$.liveData.linescore.innings') AS JSON[])) AS x FROM fd),
+        fr AS (SELECT rec_id, pk, json_extract_string(x, '$.num') AS num, 'home' AS s, json_extract_string(x, '$.home.runs') AS r FROM fi UNION ALL
+               SELECT rec_id, pk, json_extract_string(x, '$.num'), 'away', json_extract_string(x, '$.away.runs') FROM fi)
+        SELECT 'odds_api' AS src, rec_id, b || '.' || m || '.' || i AS pos, coalesce(k, '') || '|' || coalesce(o.name, '') AS item FROM oo WHERE o IS NOT NULL
+        UNION ALL SELECT 'polymarket_events', rec_id, m || '.' || (i - 1), coalesce(l, '') || '|' || coalesce(ps[i], '') FROM pi
+        UNION ALL SELECT 'mlb_game_feed', rec_id, s || '.' || n, pk || '|' || id FROM fe WHERE id IS NOT NULL
+        UNION ALL SELECT 'mlb_game_feed', rec_id, 'inning.' || num || '.' || s, pk || '|' || r FROM fr WHERE r IS NOT NULL
+    """,
     "p6_found": """
         WITH t AS (
             SELECT game_pk, scheduled_start_ts AS start_ts FROM (

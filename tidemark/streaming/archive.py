@@ -148,3 +148,30 @@ def stream_frozen(spark: SparkSession, path: str, schema: StructType, key: str,
     write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
     _run(tracked.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", mark).trigger(availableNow=True).start())
     return spark.read.schema(f"{key} {kind}, longest bigint").parquet(out).groupBy(key).agg(F.max("longest").alias("longest"))
+
+
+def stream_import(spark: SparkSession, source: str, schema: StructType, target: str, spec, parse, ordinal: str) -> int:
+    """Import new files of an archive into a versioned table, each row once; returns the rows added.
+
+    The file source's checkpoint (kept beside the target) remembers imported
+    files; the append leaves out rows already held, so a batch that is repeated
+    after a failure adds nothing twice.  ``parse`` maps archive rows to table
+    rows and must keep an ordinal column.
+    """
+    from tidemark.operators.loading import append
+
+    added: list[int] = []
+
+    def load_batch(batch: DataFrame, number: int) -> None:
+        added.append(append(spark, parse(batch), target, spec, ordinal)["added"])
+
+    rows = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(source)
+    _run(rows.writeStream.foreachBatch(load_batch).option("checkpointLocation", f"{target}.imported").trigger(availableNow=True).start())
+    return sum(added)
+
+
+def fetch_sessions(archive: DataFrame, pause: str = "45 minutes") -> DataFrame:
+    """venue, start, records: bursts of polling, parted by pauses (the same on a stream with a watermark)."""
+    return archive.groupBy("venue", F.session_window("fetched_at", pause).alias("w")).agg(F.count(F.lit(1)).alias("records")).select(
+        "venue", F.col("w.start").alias("start"), "records"
+    )
