@@ -68,8 +68,10 @@ def test_corner_rows(spark, data):
     df = spark.createDataFrame(rows, schema)
     got = {tuple(r) for r in compact(df).surplus(spark).collect()}
     assert got == {("f1", 1), ("f1", 3), ("f1", 7)}
-    wide = df.withColumn("digest", F.lit("clash")).withColumn("bytes", F.lit(None).cast("string"))
-    assert compact(wide).rows_out == len(rows) - 3
+    wide = df.withColumn("digest", F.lit("clash")).withColumns({"bytes": F.lit(None).cast("string"), "piece": F.lit(7), "bin": F.lit("b"), "n": F.lit(1)})
+    done = compact(wide)
+    assert done.rows_out == len(rows) - 3
+    assert done.data(spark).where("piece = 7 and bin = 'b'").count() == done.rows_out
     empty = compact(df.limit(0))
     assert (empty.rows_in, empty.files_out) == (0, 0) and empty.surplus(spark).count() == 0
 

@@ -30,6 +30,8 @@ PIECE_ROWS = 100_000
 #: Pieces that one packing task sees at most, in expectation.
 PLAN_PIECES = 50_000
 
+# columns of the rewrite that no archive should have
+_PIECE, _BIN = "tidemark_piece", "tidemark_bin"
 _ADDRESS = ["file_path", "file_row"]
 _IDENTITY = ["venue", "endpoint", "key", "fetched_us", "request_params", "payload", "error"]
 
@@ -149,7 +151,7 @@ class Compacted:
     rows_out: int
 
     def data(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/data").drop("bin")
+        return spark.read.parquet(f"{self.path}/data").drop(_BIN)
 
     def surplus(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/surplus").select(*_ADDRESS)
@@ -193,26 +195,27 @@ def compact(archive: DataFrame, target: str | None = None, target_bytes: int = 1
     surplus_records(digests).write.parquet(f"{stage}/surplus")
     surplus = spark.read.parquet(f"{stage}/surplus")
 
-    piece = (F.col("file_row") / PIECE_ROWS).cast("bigint")
-    key = ["file_path", "piece"]
+    piece = (F.col("file_row") / PIECE_ROWS).cast("bigint").alias(_PIECE)
+    key = ["file_path", _PIECE]
+    bins = plan.select("file_path", F.col("piece").alias(_PIECE), F.col("bin").alias(_BIN))
     strict = "spark.sql.requireAllClusterKeysForCoPartition"
     before = spark.conf.get(strict)
     spark.conf.set(strict, "false")  # the address join then keeps the partitioning by file and piece
     try:
         kept = (
-            archive.withColumn("piece", piece)
+            archive.select("*", piece)
             .repartition(groups, *key)
-            .join(surplus.select(*_ADDRESS, piece.alias("piece")).repartition(groups, *key), [*key, "file_row"], "left_anti")
-            .join(plan.select(*key, "bin").repartition(groups, *key), key)
-            .drop("piece")
+            .join(surplus.select(*_ADDRESS, piece).repartition(groups, *key), [*key, "file_row"], "left_anti")
+            .join(bins.repartition(groups, *key), key)
+            .select(*archive.columns, _BIN)
         )
-        kept.sortWithinPartitions("bin", *_ADDRESS).write.partitionBy("bin").option("compression", "zstd").parquet(f"{stage}/data")
+        kept.sortWithinPartitions(_BIN, *_ADDRESS).write.partitionBy(_BIN).option("compression", "zstd").parquet(f"{stage}/data")
     finally:
         spark.conf.set(strict, before)
 
     rows_out = 0
     if totals.rows:
-        written = spark.read.schema(StructType([*archive.schema.fields, StructField("bin", StringType())])).parquet(f"{stage}/data")
+        written = spark.read.schema(StructType([*archive.schema.fields, StructField(_BIN, StringType())])).parquet(f"{stage}/data")
         rows_out = _verify(written, archive.columns, digests, surplus, plan)
     files_out = plan.select("bin").distinct().count()
     _rename(spark, stage, target)
@@ -222,7 +225,7 @@ def compact(archive: DataFrame, target: str | None = None, target_bytes: int = 1
 def _verify(written: DataFrame, columns: list[str], digests: DataFrame, surplus: DataFrame, plan: DataFrame) -> int:
     """Rows written; raises unless every bin has the rows and checksum of the manifest."""
     big = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
-    got = written.select("bin", F.xxhash64(*columns).alias("h")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), big("h").alias("h"))
+    got = written.select(F.col(_BIN).alias("bin"), F.xxhash64(*columns).alias("h")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), big("h").alias("h"))
     piece = (F.col("file_row") / PIECE_ROWS).cast("bigint").alias("piece")
     per_piece = lambda df, sign: df.groupBy("file_path", piece).agg(
         (F.count(F.lit(1)) * sign).alias("n"), (big("row_hash") * sign).cast("decimal(38,0)").alias("h")
