@@ -310,3 +310,21 @@ def test_every_query_is_registered_once():
 
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names) and len(names) > 70
+
+
+def test_contact_table(spark):
+    from tidemark.plans import contact
+
+    rows = [(95.0, 12.0, "hit")] * 30 + [(95.0, 12.0, "out")] * 10 + [(80.0, 12.0, "out")] * 20 + [(None, 5.0, "hit"), (99.0, 90.0, "out"), (-1.0, -90.5, "out")]
+    balls = spark.createDataFrame(rows, "speed double, angle double, outcome string")
+    table = contact.contact_table(balls, ("hit", "out"), 40.0)
+    got = {(r.band, r.speed): (r.n, r.p) for r in table.collect()}
+    root = 30 / 62
+    band = (30 + 40 * root) / 100
+    assert math.isclose(got["10..25", 47][1][0], (30 + 40 * band) / 80) and got["10..25", 47][0] == 40
+    assert got["out_of_range", 49][0] == 1 and got["out_of_range", -1][0] == 1
+    out = contact.predict(balls.withColumn("n", F.lit(0)), table, contact.marginal_shares(balls, ("hit", "out"))).collect()
+    assert len(out) == len(rows) and [r.source for r in out if r.speed is None] == ["marginal"]
+    assert all(math.isclose(sum(r.p), 1) for r in out)
+    empty = contact.marginal_shares(balls.limit(0), ("hit", "out")).first().marginal
+    assert empty == [0.5, 0.5]
