@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import attributes, compaction, drift, nested, timestamps
+from tidemark.plans.time_sql import HOURS_SQL, reading_sql
 from tidemark.sources import load
 
 
@@ -57,7 +58,24 @@ QUERIES = {
 _LIST = """CASE WHEN {0} IS NULL OR trim({0}) = '' THEN NULL WHEN {0} LIKE '"%' THEN CAST(json_extract_string('{{"v":' || {0} || '}}', '$.v') AS JSON)
 ELSE CAST(replace({0}, chr(39), '"') AS JSON) END"""
 
+_PLAIN = r"'\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ'"
+_STAMP = "'%Y-%m-%dT%H:%M:%SZ'"
+
 SQL = {
+    "p1_found": rf"""
+        WITH v AS (SELECT venue_id, min(timezone) AS zone_of FROM venues WHERE timezone IS NOT NULL GROUP BY 1),
+        k AS (SELECT team_id, min(home_venue_id) AS park FROM teams GROUP BY 1),
+        sd AS (SELECT rec_id, unnest(dates) AS dd, generate_subscripts(dates, 1) - 1 AS d FROM mlb_schedule),
+        sg AS (SELECT rec_id, d, unnest(dd.games) AS g, generate_subscripts(dd.games, 1) - 1 AS i FROM sd),
+        s AS (SELECT rec_id, d || '.' || i AS pos, g.gameDate AS gd, g.officialDate AS od, coalesce(g.venue.id, park) AS vid FROM sg LEFT JOIN k ON team_id = g.teams.home.team.id),
+        lone AS (SELECT 'mlb_schedule.gameDate' AS src, rec_id, pos, gd AS t, zone_of AS tz FROM s LEFT JOIN v ON venue_id = vid
+                 UNION ALL SELECT 'mlb_schedule.officialDate', rec_id, pos, od, 'UTC' FROM s
+                 UNION ALL SELECT 'kalshi_markets.close_time', rec_id, '0', close_time, 'America/New_York' FROM kalshi_markets),
+        r AS (SELECT src, rec_id, pos, t, loc, coalesce(instant, early) AS at_ts FROM {reading_sql("lone")})
+        SELECT src, rec_id, pos, strftime(at_ts, {_STAMP}) AS utc FROM r WHERE src <> 'mlb_schedule.officialDate' AND at_ts IS NOT NULL AND NOT regexp_full_match(t, {_PLAIN})
+        UNION ALL SELECT src, rec_id, pos, strftime(loc, '%Y-%m-%d') FROM r WHERE src = 'mlb_schedule.officialDate' AND loc IS NOT NULL AND NOT regexp_full_match(t, '\d{{4}}-\d\d-\d\d')
+        UNION ALL SELECT 'open_meteo.hourly.time', rec_id, CAST(pos AS VARCHAR), strftime(at_ts, {_STAMP}) FROM {HOURS_SQL} WHERE at_ts IS NOT NULL AND NOT regexp_full_match(t, {_PLAIN})
+    """,
     "p5_found": f"""
         WITH ob AS (SELECT rec_id, unnest(bookmakers) AS bk, generate_subscripts(bookmakers, 1) - 1 AS b FROM odds_api),
         om AS (SELECT rec_id, b, unnest(bk.markets) AS mk, generate_subscripts(bk.markets, 1) - 1 AS m FROM ob),
