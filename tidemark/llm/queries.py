@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import leakage, linkage, mojibake, nearest, packing
+from tidemark.plans.time_sql import HOURS_SQL
 from tidemark.sources import load
 
 
@@ -58,4 +59,16 @@ QUERIES = {
     "p10_restored": p10_restored,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "p4_found": f"""
+        WITH g AS (SELECT game_pk, venue_id, scheduled_start_ts AS s FROM (SELECT *, row_number() OVER (PARTITION BY game_pk ORDER BY as_of_ts DESC, rec_id) AS rn
+                   FROM games WHERE game_pk IS NOT NULL AND as_of_ts IS NOT NULL) WHERE rn = 1 AND scheduled_start_ts IS NOT NULL),
+        b AS (SELECT game_pk, rec_id, unnest(bookmakers) AS k, generate_subscripts(bookmakers, 1) - 1 AS pos FROM odds_api WHERE game_pk IS NOT NULL),
+        c AS (SELECT g.game_pk, 'weather' AS partner, h.rec_id, h.pos, h.at_ts, g.s, 45 AS minutes FROM g JOIN {HOURS_SQL} h ON h.venue_id = g.venue_id
+              AND h.at_ts BETWEEN g.s - INTERVAL 45 MINUTE AND g.s + INTERVAL 45 MINUTE
+              UNION ALL SELECT g.game_pk, b.k.key, b.rec_id, b.pos, TRY_CAST(b.k.last_update AS TIMESTAMPTZ), g.s, 20 FROM g JOIN b USING (game_pk) WHERE b.k.key IS NOT NULL
+              AND TRY_CAST(b.k.last_update AS TIMESTAMPTZ) BETWEEN g.s - INTERVAL 20 MINUTE AND g.s + INTERVAL 20 MINUTE)
+        SELECT game_pk, partner, rec_id, CAST(pos AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY game_pk, partner
+            ORDER BY abs(epoch_us(at_ts) - epoch_us(s)), at_ts, rec_id, pos) AS rn FROM c WHERE at_ts IS NOT NULL) WHERE rn = 1
+    """,
+}
