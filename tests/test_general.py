@@ -328,3 +328,9 @@ def test_contact_table(spark):
     assert all(math.isclose(sum(r.p), 1) for r in out)
     empty = contact.marginal_shares(balls.limit(0), ("hit", "out")).first().marginal
     assert empty == [0.5, 0.5]
+
+
+def test_load_pins_the_clock(spark, data):
+    spark.conf.unset("spark.sql.session.timeZone")
+    load(spark, data, "region")
+    assert spark.conf.get("spark.sql.session.timeZone") == "UTC"

@@ -29,7 +29,7 @@ def reach_workers(spark: SparkSession) -> None:
 def load(spark: SparkSession, base: str, name: str) -> DataFrame:
     """Table ``name`` under ``base``; the session clock is pinned to UTC."""
     reach_workers(spark)
-    if spark.conf.get("spark.sql.session.timeZone", "") != "UTC":
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{base}/{name}.parquet")
 
