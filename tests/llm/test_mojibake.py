@@ -54,3 +54,14 @@ def test_empty_and_long(spark):
     assert damaged_documents(none).count() == 0
     long = spark.createDataFrame([(1, "é" * 30_000), (2, "plain " * 50_000)], "doc_id long, text string")
     assert damaged_documents(long).count() == 0
+
+
+def test_copies_hide_nothing(spark):
+    clean = [(i, f"{t} ({i})") for i in range(60) for t in CLEAN[:1]]
+    odd = utf8_as("Ángelo Núñovar voló después del partido, según el pronóstico.", "cp1252")
+    copies = [(1000 + i, odd) for i in range(3000)]
+    got = {r.doc_id for r in damaged_documents(spark.createDataFrame(clean + copies, "doc_id long, text string")).collect()}
+    assert got == {i for i, _ in copies}
+    near = [(1000 + i, f"después {i}".encode().decode("cp1252")) for i in range(300)]  # each text its own, one damaged word in all
+    frame = spark.createDataFrame(clean + near, "doc_id long, text string")
+    assert {r.doc_id for r in damaged_documents(frame).collect()} == {i for i, _ in near}

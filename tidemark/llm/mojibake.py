@@ -6,7 +6,8 @@ characters beyond ASCII becomes a byte lattice per wrong reading, with
 wildcards where bytes were lost.  A Viterbi search under the corpus' character
 frequencies proposes what the token was, and the corpus' word frequencies
 decide between proposals.  Tokens are judged once each, however often they
-occur; counts cover all texts.
+occur.  Copies of a text never speak for its damage: what may be a wrong
+reading counts once per distinct text.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ READINGS = (
 )
 #: Log cost of a decoding step, and the gain over the token as it stands from which it counts as damaged.
 STEP_COST, LEAST_GAIN = 4.0, 2.0
-#: A proposal from word frequencies must be so many times as common as the damaged form.
+#: A proposal from word frequencies must be so many times as common as the damaged form; one that is valid UTF-8
+#: throughout, as common as if the damaged form stood in one text.
 WORD_RATIO = 4
 LOST = "�"
 _SMOOTH = 0.5
@@ -56,6 +58,18 @@ def _bytes_of(reading: str) -> dict[str, int]:
     return out
 
 
+@lru_cache(maxsize=None)
+def readable() -> str:
+    """Pattern (of Java) of what some reading takes for a UTF-8 sequence, lost bytes included."""
+    out = []
+    for reading in READINGS:
+        table = _bytes_of(reading)
+        marks = lambda a, b, more="": "[" + "".join(f"\\x{{{ord(c):x}}}" for c, x in table.items() if a <= x <= b) + more + "]"
+        rest = marks(0x80, 0xBF, f"\\x{{{ord(LOST):x}}}")
+        out += [marks(0xF0, 0xF4) + rest * 3, marks(0xE0, 0xEF) + rest * 2, marks(0xC2, 0xDF) + rest]
+    return "|".join(out)
+
+
 def quoted_only(token: str) -> bool:
     """Whether the token merely quotes a sequence: quote marks around characters without ASCII letters."""
     if len(token) < 3 or token[0] not in _OPEN or token[-1] not in _CLOSE:
@@ -140,10 +154,14 @@ def restore_utf8(token: str, chars: Characters, memo: dict) -> str | None:
     return found
 
 
-def eager_utf8(token: str, chars: Characters, memo: dict) -> set[str]:
-    """Readings as UTF-8 that the characters alone don't make sure of."""
-    best = (viterbi(token, r, chars, memo, -STEP_COST) for r in READINGS)
-    return {text for _, text, stepped, _ in best if stepped}
+def eager_utf8(token: str, chars: Characters, memo: dict) -> dict[str, bool]:
+    """Readings as UTF-8 that the characters alone don't make sure of, and whether their bytes are valid without wildcards."""
+    out: dict[str, bool] = {}
+    for r in READINGS:
+        _, text, stepped, wild = viterbi(token, r, chars, memo, -STEP_COST)
+        if stepped:
+            out[text] = out.get(text, False) or not wild
+    return out
 
 
 def byte_proposals(token: str) -> set[str]:
@@ -183,28 +201,37 @@ def lost_proposals(token: str, chars: Characters, memo: dict) -> set[str]:
 # -- over the corpus -------------------------------------------------------------
 
 
-def document_tokens(documents: DataFrame) -> DataFrame:
-    """doc_id, token: the distinct odd tokens of each text, written down once for the steps that follow."""
-    spark = documents.sparkSession
-    path = shared_dir(spark, "tokens")
-    _tokens(documents).write.parquet(path)
-    return spark.read.parquet(path)
+def hashed(documents: DataFrame) -> DataFrame:
+    """doc_id, text, text_id: copies of a text share its text_id."""
+    return documents.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.unhex(F.sha2("text", 256)).alias("text_id"))
 
 
-def _tokens(documents: DataFrame) -> DataFrame:
-    return documents.where("text is not null").select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", SPACING, " "), F.lit(TOKEN), F.lit(0)))).alias("token")
-    )
+def text_tokens(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_id) of the texts with odd tokens, and (text_id, copies, token) of each distinct text; written down once for the steps that follow."""
+    spark = documents.sparkSession
+    rows, texts = shared_dir(spark, "rows"), shared_dir(spark, "tokens")
+    found = F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", SPACING, " "), F.lit(TOKEN), F.lit(0)))
+    hashed(documents).select("doc_id", "text_id", found.alias("tokens")).where(F.size("tokens") > 0).write.parquet(rows)
+    held = spark.read.parquet(rows)
+    distinct = held.groupBy("text_id").agg(F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"))
+    distinct.select("text_id", "copies", F.explode("tokens").alias("token")).write.parquet(texts)
+    return held.select("doc_id", "text_id"), spark.read.parquet(texts)
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
-    """token, n: in how many texts each token stands."""
-    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    """token, n, n_texts: in how many texts each token stands, copies included and counted once."""
+    return tokens.groupBy("token").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("n_texts"))
 
 
 def character_counts(words: DataFrame) -> dict[str, int]:
-    """Counts of all characters beyond ASCII: at most as many rows as Unicode has characters."""
-    each = words.select(F.explode(F.split(F.regexp_replace("token", r"[\x00-\x7F]", ""), "")).alias("c"), "n")
+    """Counts of all characters beyond ASCII: at most as many rows as Unicode has characters.
+
+    Characters that may be a wrongly read sequence count once per distinct text,
+    all others with the copies.
+    """
+    clear = F.regexp_replace("token", readable(), "")
+    parts = F.array(F.struct(F.col("token").alias("t"), F.col("n_texts").alias("n")), F.struct(clear.alias("t"), (F.col("n") - F.col("n_texts")).alias("n")))
+    each = words.select(F.inline(parts)).where("n > 0").select(F.explode(F.split(F.regexp_replace("t", r"[\x00-\x7F]", ""), "")).alias("c"), "n")
     rows = each.where("c <> ''").groupBy("c").agg(F.sum("n").alias("n")).collect()
     return {r.c: r.n for r in rows}
 
@@ -213,7 +240,8 @@ def proposals(words: DataFrame, counts: dict[str, int]) -> DataFrame:
     """token, n, restored, kind: what each token may have been.
 
     kind ``sure``: the characters decide (restored may be null: damaged beyond
-    repair); ``word``: holds if the restored form is a far more common word.
+    repair); ``word``: holds if the restored form is a far more common word;
+    ``utf8``: holds if it is a common word, however common the damaged form is.
     """
     shared = words.sparkSession.sparkContext.broadcast(counts)
 
@@ -239,7 +267,7 @@ def proposals(words: DataFrame, counts: dict[str, int]) -> DataFrame:
                 if whole:
                     eager = eager_utf8(token, chars, memo)
                     # nothing odd is left but spacing: no word of the vocabulary can tell
-                    out += [(token, n, m, "sure" if all(c.isascii() or c == "\xa0" for c in m) else "word") for m in eager]
+                    out += [(token, n, m, "sure" if all(c.isascii() or c == "\xa0" for c in m) else "utf8" if valid else "word") for m, valid in eager.items()]
                     out += [(token, n, m, "word") for m in byte_proposals(token) | lost_proposals(token, chars, memo)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -247,13 +275,18 @@ def proposals(words: DataFrame, counts: dict[str, int]) -> DataFrame:
     return words.mapInArrow(run, "token string, n bigint, restored string, kind string")
 
 
+def far_more_common() -> F.Column:
+    """Whether the restored form is WORD_RATIO times as common as the damaged one by distinct texts, or by all texts and no rarer by distinct ones."""
+    by_texts = F.col("restored_texts") >= WORD_RATIO * F.col("n_texts") + 1
+    by_copies = (F.col("restored_n") >= WORD_RATIO * F.col("n") + 1) & (F.col("restored_texts") >= F.col("n_texts"))
+    return by_texts | by_copies | ((F.col("kind") == "utf8") & (F.col("restored_n") > WORD_RATIO))
+
+
 def damaged_tokens(words: DataFrame) -> DataFrame:
     """token, restored: every damaged token once, with its likeliest original if one was found."""
     asked = proposals(words, character_counts(words))
-    common = words.select(F.col("token").alias("restored"), F.col("n").alias("restored_n"))
-    ranked = asked.join(common, "restored", "left").withColumn(
-        "holds", (F.col("kind") == "sure") | (F.coalesce("restored_n", F.lit(0)) >= WORD_RATIO * F.col("n") + 1)
-    )
+    common = words.select(F.col("token").alias("restored"), F.col("n").alias("restored_n"), F.col("n_texts").alias("restored_texts"))
+    ranked = asked.join(words.select("token", "n_texts"), "token").join(common, "restored", "left").withColumn("holds", (F.col("kind") == "sure") | F.coalesce(far_more_common(), F.lit(False)))
     # a common word beats the characters' proposal, which beats none
     rank = F.struct((F.col("restored_n").isNotNull()).cast("int"), F.coalesce("restored_n", F.lit(0)), F.col("restored").isNotNull().cast("int"))
     return ranked.where("holds").groupBy("token").agg(F.max_by("restored", F.struct(rank, "restored")).alias("restored"))
@@ -265,16 +298,17 @@ def damaged_documents(documents: DataFrame) -> DataFrame:
     Null and empty texts are none; a text that only quotes such a sequence, and
     properly accented text, are none; copies are reported each.
     """
-    tokens = document_tokens(documents)
-    return tokens.join(damaged_tokens(vocabulary(tokens)), "token").select("doc_id").distinct()
+    rows, tokens = text_tokens(documents)
+    texts = tokens.join(damaged_tokens(vocabulary(tokens)), "token").select("text_id").distinct()
+    return rows.join(texts, "text_id", "left_semi").select("doc_id").distinct()
 
 
 def restored_documents(documents: DataFrame) -> DataFrame:
     """doc_id, text, n_restored, n_lost of the affected texts: every damaged token that could be restored is replaced."""
-    tokens = document_tokens(documents)
+    _, tokens = text_tokens(documents)
     fixes = (
         tokens.join(damaged_tokens(vocabulary(tokens)), "token")
-        .groupBy("doc_id")
+        .groupBy("text_id")
         .agg(F.collect_list(F.struct("token", "restored")).alias("fixes"))  # bounded by one text's tokens
     )
 
@@ -291,5 +325,4 @@ def restored_documents(documents: DataFrame) -> DataFrame:
                 bad.append(sum(v is None or LOST in v for v in known.values()))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts, "n_restored": good, "n_lost": bad})
 
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return texts.join(fixes, "doc_id").mapInPandas(run, "doc_id bigint, text string, n_restored bigint, n_lost bigint")
+    return hashed(documents).join(fixes, "text_id").drop("text_id").mapInPandas(run, "doc_id bigint, text string, n_restored bigint, n_lost bigint")
