@@ -5,7 +5,8 @@ from collections import Counter
 
 import pytest
 
-from tidemark.operators.drift import consistent_table, declared_shapes, drift_report, fits, json_type, promote
+from tidemark.operators.drift import consistent_fields, consistent_table, declared_shapes, drift_report, fits, json_type, promote
+from tidemark.plans.core_queries import ENDPOINTS, QUERIES
 from tidemark.sources import load
 
 FIELDS = [
@@ -91,3 +92,36 @@ def test_empty(spark):
 @pytest.mark.parametrize("a, b, both", [("null", "array", "array"), ("integer", "number", "number"), ("boolean", "integer", "string"), ("object", "object", "object"), ("array", "string", "string")])
 def test_lattice(a, b, both):
     assert promote(a, b) == promote(b, a) == both
+
+
+def test_every_endpoint_has_its_table(spark, data):
+    archive, fields = load(spark, data, "poll_archive"), load(spark, data, "payload_fields")
+    declared = {r.endpoint for r in fields.collect()}
+    assert set(ENDPOINTS) == declared and all(f"p3_{e}_table" in QUERIES for e in declared)
+    want: dict = {}
+    for r in archive.select("endpoint", "file_path", "file_row", "payload").collect():
+        try:
+            doc = json.loads(r.payload)
+        except (ValueError, TypeError):
+            continue
+        if r.endpoint in declared and isinstance(doc, dict):
+            want[r.endpoint, r.file_path, r.file_row] = doc
+    got: dict = {}
+    for r in consistent_fields(archive, fields).collect():
+        got.setdefault((r.endpoint, r.file_path, r.file_row), {})[r.field] = r.value
+    assert got.keys() == want.keys() and {e for e, _, _ in got} == declared
+    for key, doc in want.items():
+        for name, value in doc.items():
+            if isinstance(value, str) and name in got[key]:
+                assert got[key][name] == value, (key, name)
+    table = QUERIES["p3_odds_table"](spark, data)
+    assert table.count() == sum(e == "odds" for e, _, _ in want)
+    for r in table.collect():
+        cells = got["odds", r.file_path, r.file_row]
+        assert r.bookmaker_last_update == cells["bookmaker.last_update"] and r.id == cells["id"]
+
+
+def test_whole_numbers_with_a_point(spark):
+    archive, fields = run(spark, [json.dumps(good(1)), json.dumps(good(2, n=7.0))])
+    assert {r.file_path: r.n for r in consistent_table(archive, fields, "e").collect()} == {"f0": 11, "f1": 7}
+    assert consistent_fields(archive, fields.limit(0)).count() == 0

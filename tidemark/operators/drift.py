@@ -17,10 +17,11 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.jsontext import decode
+from tidemark.operators.nested import let
 from tidemark.sources import shared_dir
 
 #: A missing field and a new one hold the same content from this overlap of their value profiles on.
@@ -236,39 +237,28 @@ def drift_report(archive: DataFrame, payload_fields: DataFrame) -> DataFrame:
 _SQL_TYPES = {"boolean": "boolean", "integer": "bigint", "number": "double", "null": "string"}
 
 
-def union_schema(scanned: DataFrame, endpoint: str, types: dict, changes: DataFrame) -> dict[str, tuple[str, list[str]]]:
-    """path -> (promoted JSON type, names it goes by), folded over all headers of the endpoint."""
-    texts = scanned.where((F.col("kind") == "header") & (F.col("endpoint") == endpoint)).select("detail").distinct()
+def union_schemas(scanned: DataFrame, types: dict, changes: DataFrame) -> dict[str, dict[str, tuple[str, list[str]]]]:
+    """endpoint -> path -> (promoted JSON type, names it goes by), folded over all headers of every declared endpoint."""
     seen = (
-        texts.select(F.explode(F.from_json("detail", "array<array<string>>")).alias("f"))
-        .select(F.col("f")[0].alias("path"), F.col("f")[1].alias("type"))
+        scanned.where("kind = 'header'").select("endpoint", F.explode(F.from_json("detail", "array<array<string>>")).alias("f"))
+        .select("endpoint", F.col("f")[0].alias("path"), F.col("f")[1].alias("type"))
         .distinct()
-    )
-    names = changes.where((F.col("endpoint") == endpoint) & (F.col("change_kind") == "renamed")).select("field_path", "new_path").distinct()
-    also: dict[str, list[str]] = {}
-    for r in names.collect():  # pairs of field names: as many as the endpoint has fields
-        also.setdefault(r.field_path, []).append(r.new_path)
-    aliases = {n: o for o, ns in also.items() for n in ns}
-    out: dict[str, str] = dict(types.get(endpoint, {}))
+    )
+    names = changes.where("change_kind = 'renamed'").select("endpoint", "field_path", "new_path").distinct()
+    also: dict[str, dict[str, list[str]]] = {e: {} for e in types}
+    for r in names.collect():  # pairs of field names: as many as the endpoints have fields
+        also[r.endpoint].setdefault(r.field_path, []).append(r.new_path)
+    aliases = {(e, n): o for e, fields in also.items() for o, ns in fields.items() for n in ns}
+    out: dict[str, dict[str, str]] = {e: dict(t) for e, t in types.items()}
     for r in sorted(seen.collect()):
-        path = aliases.get(r.path, r.path)
-        out[path] = promote(out.get(path, "null"), r.type)
-    return {p: (t, [p, *sorted(also.get(p, []))]) for p, t in sorted(out.items())}
+        path, fields = aliases.get((r.endpoint, r.path), r.path), out[r.endpoint]
+        fields[path] = promote(fields.get(path, "null"), r.type)
+    return {e: {p: (t, [p, *sorted(also[e].get(p, []))]) for p, t in sorted(fields.items())} for e, fields in out.items()}
 
 
-def consistent_table(archive: DataFrame, payload_fields: DataFrame, endpoint: str) -> DataFrame:
-    """All whole payloads of an endpoint as one table of the union schema.
-
-    Renamed fields come back under their declared name; scalars are cast to
-    their promoted type (null if a text can't be cast); arrays and undeclared
-    objects stay JSON text.  Nested declared fields become ``parent_child``
-    columns.  file_path and file_row tell where each row is from.
-    """
-    types, required = declared_shapes(payload_fields)
-    scanned = scan_headers(archive.where(F.col("endpoint") == endpoint), types)
-    changes = classify_headers(scanned, types, required)
-    fields = union_schema(scanned, endpoint, types, changes)
-    objects = {p for p, t in types.get(endpoint, {}).items() if t == "object"}
+def _picks(fields: dict[str, tuple[str, list[str]]], declared: dict[str, str]) -> tuple[str, dict]:
+    """Schema to read an endpoint's payloads with, and path -> function of the value read to its typed column."""
+    objects = {p for p, t in declared.items() if t == "object"}
     leaves = {p: v for p, v in fields.items() if p not in objects}
     tree: dict = {}
     for path, (_, names) in leaves.items():
@@ -277,14 +267,62 @@ def consistent_table(archive: DataFrame, payload_fields: DataFrame, endpoint: st
             tree.setdefault(parent if parent in objects else "", set()).add(leaf if parent in objects else n)
     ddl = [f"`{n}` string" for n in sorted(tree.get("", ()))]
     ddl += [f"`{p}` struct<{', '.join(f'`{n}`: string' for n in sorted(tree[p]))}>" for p in sorted(objects) if p in tree]
-    value = F.from_json("payload", ", ".join(ddl)).alias("v")
 
-    def pick(path: str) -> F.Column:
-        kind, names = leaves[path]
-        got = F.coalesce(*[
-            F.col("v")[n.rpartition(".")[0]][n.rpartition(".")[2]] if n.rpartition(".")[0] in objects else F.col("v")[n] for n in names
-        ])
-        return got.try_cast(_SQL_TYPES.get(kind, "string")).alias(path.replace(".", "_"))
+    def pick(kind: str, names: list[str]):
+        def of(v: Column) -> Column:
+            got = F.coalesce(*[v[n.rpartition(".")[0]][n.rpartition(".")[2]] if n.rpartition(".")[0] in objects else v[n] for n in names])
+            typed = got.try_cast(_SQL_TYPES.get(kind, "string"))
+            return F.coalesce(typed, got.try_cast("double").try_cast("bigint")) if kind == "integer" else typed  # 7.0 is an integer too
+
+        return of
+
+    return ", ".join(ddl), {p: pick(*v) for p, v in leaves.items()}
+
+
+def _schemas(archive: DataFrame, payload_fields: DataFrame, endpoint: str | None = None) -> dict[str, tuple[str, dict]]:
+    """endpoint -> what _picks gives, of every declared endpoint (or the one asked for), by one header scan."""
+    types, required = declared_shapes(payload_fields)
+    if endpoint is not None:
+        archive, types = archive.where(F.col("endpoint") == endpoint), {endpoint: types.get(endpoint, {})}
+    scanned = scan_headers(archive, types)
+    unions = union_schemas(scanned, types, classify_headers(scanned, types, required))
+    return {e: _picks(fields, types[e]) for e, fields in unions.items()}
+
 
-    whole = archive.where((F.col("endpoint") == endpoint) & F.try_parse_json("payload").isNotNull() & F.ltrim("payload").startswith("{"))
-    return whole.select("file_path", "file_row", value).select("file_path", "file_row", *[pick(p) for p in leaves])
+def _whole(archive: DataFrame) -> DataFrame:
+    return archive.where(F.try_parse_json("payload").isNotNull() & F.ltrim("payload").startswith("{"))
+
+
+def consistent_table(archive: DataFrame, payload_fields: DataFrame, endpoint: str) -> DataFrame:
+    """All whole payloads of an endpoint as one table of the union schema.
+
+    Renamed fields come back under their declared name; scalars are cast to
+    their promoted type (null if a text can't be cast); arrays and undeclared
+    objects stay JSON text.  Nested declared fields become ``parent_child``
+    columns.  file_path and file_row tell where each row is from.
+    """
+    ddl, picks = _schemas(archive, payload_fields, endpoint)[endpoint]
+    whole = _whole(archive.where(F.col("endpoint") == endpoint)).select("file_path", "file_row", F.from_json("payload", ddl).alias("v"))
+    return whole.select("file_path", "file_row", *[of(F.col("v")).alias(p.replace(".", "_")) for p, of in picks.items()])
+
+
+def _cells(value: Column, picks: dict) -> Column:
+    typed = {p: of(value) for p, of in picks.items()}
+    return F.array(*[F.struct(F.lit(p).alias("field"), F.typeof(c).alias("type"), c.cast("string").alias("value")) for p, c in typed.items()])
+
+
+def consistent_fields(archive: DataFrame, payload_fields: DataFrame) -> DataFrame:
+    """The consistent tables of all declared endpoints as one long table: endpoint, file_path, file_row, field, type, value.
+
+    One header scan serves all endpoints, one more scan casts.  A row per whole
+    payload and field of its endpoint's union schema; value is the text of the
+    cast value, null where the payload hasn't got the field.
+    """
+    cells, found = None, _schemas(archive, payload_fields)
+    for endpoint, (ddl, picks) in found.items():
+        hit, value = F.col("endpoint") == endpoint, let(F.from_json("payload", ddl), lambda v: _cells(v, picks))  # noqa: B023
+        cells = F.when(hit, value) if cells is None else cells.when(hit, value)
+    if cells is None:
+        cells = F.lit(None).cast("array<struct<field:string,type:string,value:string>>")
+    whole = _whole(archive.where(F.col("endpoint").isin(*found)))
+    return whole.select("endpoint", "file_path", "file_row", F.inline(cells))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,16 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return drift.drift_report(load(spark, base, "poll_archive"), load(spark, base, "payload_fields"))
 
 
-def p3_markets_table(spark: SparkSession, base: str) -> DataFrame:
-    return drift.consistent_table(load(spark, base, "poll_archive"), load(spark, base, "payload_fields"), "markets")
+def p3_fields(spark: SparkSession, base: str) -> DataFrame:
+    return drift.consistent_fields(load(spark, base, "poll_archive"), load(spark, base, "payload_fields"))
+
+
+def _table_of(endpoint: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, base: drift.consistent_table(load(spark, base, "poll_archive"), load(spark, base, "payload_fields"), endpoint)
+
+
+#: The declared endpoints; p3_fields takes them from payload_fields.
+ENDPOINTS = ("markets", "orderbook", "odds", "book", "clob_events", "forecast")
 
 
 def _nested(spark: SparkSession, base: str) -> list[DataFrame]:
@@ -49,7 +59,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
-    "p3_markets_table": p3_markets_table,
+    "p3_fields": p3_fields,
+    **{f"p3_{e}_table": _table_of(e) for e in ENDPOINTS},
     "p5_found": p5_found,
     "p5_variants": p5_variants,
     "p6_found": p6_found,
