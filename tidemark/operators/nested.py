@@ -2,9 +2,10 @@
 
 Structural variants: a bottom-up tree automaton gives every node a state from
 its label and its children's states, so a record's root state names its shape.
-Each state has a typed subtype table with the columns of that shape; the common
-keys (src, rec_id, pos, item) form the supertype table.  States are column
-expressions: one scan classifies and routes, nothing is parsed twice.
+States are column expressions and are counted; the child tables don't depend on
+them.  Each source has one flat child table with the columns of all its shapes,
+and the common keys (src, rec_id, pos, item) form the supertype table.  Typed
+subtype tables per state aren't built.
 """
 
 from __future__ import annotations
