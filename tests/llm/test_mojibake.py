@@ -2,7 +2,7 @@
 
 import pytest
 
-from tidemark.llm.mojibake import LOST, damaged_documents, quoted_only, restored_documents
+from tidemark.llm.mojibake import _MAX_PIECE, LOST, damaged_documents, pieces_of, quoted_only, restored_documents
 
 CLEAN = [
     "Ángelo Núñovar voló después del partido en Québrou; según el pronóstico, mañana será más fácil.",
@@ -65,3 +65,21 @@ def test_copies_hide_nothing(spark):
     near = [(1000 + i, f"después {i}".encode().decode("cp1252")) for i in range(300)]  # each text its own, one damaged word in all
     frame = spark.createDataFrame(clean + near, "doc_id long, text string")
     assert {r.doc_id for r in damaged_documents(frame).collect()} == {i for i, _ in near}
+
+
+def test_lost_places_in_a_large_alphabet(spark):
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 500)]  # 500 letters, each in more than five texts
+    words = ["pronóstico", "Núñovár"]
+    rows = [(i, f"{' '.join(words)} {' '.join(signs)} ({i})") for i in range(12)]
+    rows += [(100, f"pron{LOST}stico"), (101, f"N{LOST}{LOST}ov{LOST}r"), (102, f"pron{LOST}stica"), (103, "pronÃstico")]
+    got = {r.doc_id: r.text for r in restored_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {100: words[0], 101: words[1], 102: f"pron{LOST}stica", 103: words[0]}
+
+
+def test_long_tokens_are_cut_at_safe_borders(spark):
+    token = "a" * (_MAX_PIECE - 1) + "Ã©" + "b" * 3000
+    assert "".join(pieces_of(token)) == token and not any(p.endswith("Ã") for p in pieces_of(token))
+    odd = "x" * 2500 + "é"
+    rows = [(i, odd + f" ({i})") for i in range(12)] + [(50, "x" * 2500 + LOST), (51, "x" * 2500 + "Ž")]
+    got = {r.doc_id: r.text for r in restored_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {50: odd, 51: odd}

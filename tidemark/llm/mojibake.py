@@ -34,7 +34,8 @@ STEP_COST, LEAST_GAIN = 4.0, 2.0
 WORD_RATIO = 4
 LOST = "�"
 _SMOOTH = 0.5
-_MAX_TOKEN = 2000
+_MAX_PIECE = 2000
+_MARKS = "’‘“”–—«»¿¡°"
 
 # a token: ASCII letters joined by characters beyond ASCII, in loops that neither recurse nor go back;
 # a no-break space joins only where a character beyond ASCII precedes it
@@ -154,13 +155,29 @@ def restore_utf8(token: str, chars: Characters, memo: dict) -> str | None:
     return found
 
 
+@lru_cache(maxsize=None)
+def _known_to_readings() -> frozenset[str]:
+    return frozenset(c for r in READINGS for c in _bytes_of(r)) | {LOST}
+
+
+def pieces_of(token: str) -> list[str]:
+    """A long token in pieces of about _MAX_PIECE characters, cut only beside characters that no sequence of any reading spans."""
+    out, at, inside = [], 0, _known_to_readings()
+    for i in range(_MAX_PIECE, len(token)):
+        if i - at >= _MAX_PIECE and token[i] not in inside:
+            out.append(token[at:i])
+            at = i
+    return [*out, token[at:]]
+
+
 def eager_utf8(token: str, chars: Characters, memo: dict) -> dict[str, bool]:
     """Readings as UTF-8 that the characters alone don't make sure of, and whether their bytes are valid without wildcards."""
     out: dict[str, bool] = {}
     for r in READINGS:
-        _, text, stepped, wild = viterbi(token, r, chars, memo, -STEP_COST)
-        if stepped:
-            out[text] = out.get(text, False) or not wild
+        _, parts, steps, wilds = zip(*(viterbi(p, r, chars, memo, -STEP_COST) for p in pieces_of(token)))
+        if any(steps):
+            text = "".join(parts)
+            out[text] = out.get(text, False) or not any(wilds)
     return out
 
 
@@ -184,18 +201,32 @@ def byte_proposals(token: str) -> set[str]:
     return out
 
 
-def lost_proposals(token: str, chars: Characters, memo: dict) -> set[str]:
-    """What the token was if one character, or the tail of a sequence, was lost."""
-    out = set()
-    table = _bytes_of("cp1252")
-    for i, c in enumerate(token):
+def cut_tail(token: str, i: int) -> bool:
+    """Whether the character may be the lead byte of a sequence whose tail was lost."""
+    return 0xC2 <= _bytes_of("cp1252").get(token[i], -1) <= 0xC5 and (i + 1 == len(token) or token[i + 1].isascii())
+
+
+def open_places(token: str) -> list[int]:
+    """Where one character, or the tail of a sequence, may have been lost."""
+    return [i for i, c in enumerate(token) if c == LOST or cut_tail(token, i)]
+
+
+def masked(token: str, places: list[int]) -> str:
+    out = list(token)
+    for i in places:
+        out[i] = LOST
+    return "".join(out)
+
+
+def may_have_been(token: str, word: str) -> bool:
+    """Whether a word of the token's length explains all its open places at once."""
+    for i, (c, k) in enumerate(zip(token, word)):
         if c == LOST:
-            known = memo.setdefault("letters", [k for _, k in chars.known if k.isalpha() or k in "’‘“”–—«»¿¡°"])
-            out.update(token[:i] + k + token[i + 1 :] for k in known if len(known) < 400)
-        elif 0xC2 <= table.get(c, -1) <= 0xC5 and (i + 1 == len(token) or token[i + 1].isascii()):
-            key = (table[c], None)
-            out.update(token[:i] + k + token[i + 1 :] for k in memo.setdefault(key, chars.fits(key)))
-    return out if len(out) < 2000 else set()
+            if k == LOST or k.isascii() or not (k.isalpha() or k in _MARKS):
+                return False
+        elif c != k and not (cut_tail(token, i) and k.encode("utf-8", "replace")[0] == _bytes_of("cp1252")[c] and len(k.encode("utf-8", "replace")) == 2):
+            return False
+    return word != token
 
 
 # -- over the corpus -------------------------------------------------------------
@@ -241,7 +272,8 @@ def proposals(words: DataFrame, counts: dict[str, int]) -> DataFrame:
 
     kind ``sure``: the characters decide (restored may be null: damaged beyond
     repair); ``word``: holds if the restored form is a far more common word;
-    ``utf8``: holds if it is a common word, however common the damaged form is.
+    ``utf8``: holds if it is a common word, however common the damaged form is;
+    ``lost``: restored still has open places, for fitting_words to fill.
     """
     shared = words.sparkSession.sparkContext.broadcast(counts)
 
@@ -253,28 +285,62 @@ def proposals(words: DataFrame, counts: dict[str, int]) -> DataFrame:
             for token, n in zip(batch["token"].to_pylist(), batch["n"].to_pylist()):
                 if quoted_only(token):
                     continue
-                whole = len(token) <= _MAX_TOKEN
-                pieces = [token] if whole else [token[i : i + _MAX_TOKEN] for i in range(0, len(token), _MAX_TOKEN)]
+                pieces = pieces_of(token)
                 fixed = [restore_utf8(p, chars, memo) for p in pieces]
                 if any(f is not None for f in fixed):
                     text = "".join(p if f is None else f for p, f in zip(pieces, fixed))
                     out.append((token, n, text, "sure"))
-                    maybe = lost_proposals(text, chars, memo) if LOST in text and whole else ()
-                    out += [(token, n, m, "word") for m in maybe]
+                    if LOST in text:
+                        out.append((token, n, text, "lost"))
                     continue
                 if LOST in token:
                     out.append((token, n, None, "sure"))
-                if whole:
-                    eager = eager_utf8(token, chars, memo)
-                    # nothing odd is left but spacing: no word of the vocabulary can tell
-                    out += [(token, n, m, "sure" if all(c.isascii() or c == "\xa0" for c in m) else "utf8" if valid else "word") for m, valid in eager.items()]
-                    out += [(token, n, m, "word") for m in byte_proposals(token) | lost_proposals(token, chars, memo)]
+                # nothing odd is left but spacing: no word of the vocabulary can tell
+                out += [(token, n, m, "sure" if all(c.isascii() or c == "\xa0" for c in m) else "utf8" if valid else "word") for m, valid in eager_utf8(token, chars, memo).items()]
+                out += [(token, n, m, "word") for m in byte_proposals(token)]
+                if open_places(token):
+                    out.append((token, n, token, "lost"))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return words.mapInArrow(run, "token string, n bigint, restored string, kind string")
 
 
+def _skeleton(column: str) -> F.Column:
+    """Length and ASCII letters of a token."""
+    return F.regexp_replace(column, r"[^\x00-\x7F]", "?")
+
+
+def fitting_words(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """token, n, restored, kind: every common word that fills all open places of a ``lost`` row, as kind ``word``.
+
+    Words and tokens meet on the letters outside the open places; a word is
+    masked only in the ways that tokens of its skeleton are.  Words of
+    WORD_RATIO texts and fewer can't hold as proposals and aren't tried.
+    """
+    schema = "token string, n bigint, restored string, mask string, masked string"
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            places = [open_places(t) for t in pdf["restored"]]
+            yield pdf.assign(mask=[",".join(map(str, p)) for p in places], masked=[masked(t, p) for t, p in zip(pdf["restored"], places)])
+
+    def mask_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"word": pdf["word"], "mask": pdf["mask"], "masked": [masked(w, list(map(int, m.split(",")))) for w, m in zip(pdf["word"], pdf["mask"])]})
+
+    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            good = pdf[[may_have_been(t, w) for t, w in zip(pdf["restored"], pdf["word"])]]
+            yield pd.DataFrame({"token": good["token"], "n": good["n"], "restored": good["word"], "kind": "word"})
+
+    open_ = asked.where("kind = 'lost'").select("token", "n", "restored").mapInPandas(mark, schema)
+    masks = open_.select(_skeleton("restored").alias("skeleton"), "mask").distinct()
+    common = words.where(F.col("n") > WORD_RATIO).select(F.col("token").alias("word"), _skeleton("token").alias("skeleton"))
+    tried = common.join(masks, "skeleton").select("word", "mask").mapInPandas(mask_words, "word string, mask string, masked string")
+    return open_.join(tried, ["mask", "masked"]).select("token", "n", "restored", "word").mapInPandas(verify, "token string, n bigint, restored string, kind string")
+
+
 def far_more_common() -> F.Column:
     """Whether the restored form is WORD_RATIO times as common as the damaged one by distinct texts, or by all texts and no rarer by distinct ones."""
     by_texts = F.col("restored_texts") >= WORD_RATIO * F.col("n_texts") + 1
@@ -284,7 +350,10 @@ def far_more_common() -> F.Column:
 
 def damaged_tokens(words: DataFrame) -> DataFrame:
     """token, restored: every damaged token once, with its likeliest original if one was found."""
-    asked = proposals(words, character_counts(words))
+    proposed = shared_dir(words.sparkSession, "proposed")
+    proposals(words, character_counts(words)).write.parquet(proposed)
+    asked = words.sparkSession.read.parquet(proposed)
+    asked = asked.where("kind <> 'lost'").unionByName(fitting_words(asked, words))
     common = words.select(F.col("token").alias("restored"), F.col("n").alias("restored_n"), F.col("n_texts").alias("restored_texts"))
     ranked = asked.join(words.select("token", "n_texts"), "token").join(common, "restored", "left").withColumn("holds", (F.col("kind") == "sure") | F.coalesce(far_more_common(), F.lit(False)))
     # a common word beats the characters' proposal, which beats none
