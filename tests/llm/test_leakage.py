@@ -80,3 +80,12 @@ def test_tables(spark, data):
     assert leaked_items(cleaned, items).count() == 0
     assert leaked_items(docs.limit(0), items).count() == 0
     assert leaked_items(docs, items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("between", [" ", " and some words that are foreign to it ", " it " * 40])
+@pytest.mark.parametrize("times", [2, 3, 60])
+def test_repeated_passage_is_cut_each_time(spark, between, times):
+    text = "Before. " + between.join([PASSAGE] * times) + " After."
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    left = remove_leaks(spark.createDataFrame([(7, text)], "doc_id long, text string"), items).first().text
+    assert "quick" not in left and left.startswith("Before.") and left.endswith("After.")

@@ -180,6 +180,25 @@ def best_span(items: Items, item: int, words: list[str]) -> tuple[int, int] | No
     return None
 
 
+def stretches(items: Items, item: int, words: list[str], a: int, b: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of all leaked stretches of the item in a region; both sides of each are searched again.
+
+    A long region is searched in windows that overlap by the longest stretch, so
+    a passage repeated many times costs in proportion to the text.
+    """
+    n = len(items.words[item])
+    step = 3 * (n + n // EDIT_IN + 1)
+    todo = [(x, min(b, x + step * 4 // 3)) for x in range(a, max(a + 1, b - step // 3), step)]
+    while todo:
+        x, y = todo.pop()
+        span = best_span(items, item, words[x:y])
+        if span:
+            start, stop = x + span[0], x + span[1]
+            yield start, stop
+            for p, q in ((x, start), (stop, y)):
+                todo += [(p + c, p + d) for c, d in _candidates(items, words[p:q]).get(item, ())]
+
+
 def leaks_in(items: Items, text: str | None) -> list[tuple[int, int, int]]:
     """(item, from, to): leaked items of a text and the characters they take."""
     if not text:
@@ -188,9 +207,7 @@ def leaks_in(items: Items, text: str | None) -> list[tuple[int, int, int]]:
     out = []
     for item, regions in sorted(_candidates(items, words).items()):
         for a, b in regions:
-            span = best_span(items, item, words[a:b])
-            if span:
-                out.append((item, places[a + span[0]][0], places[a + span[1] - 1][1]))
+            out += [(item, places[start][0], places[stop - 1][1]) for start, stop in sorted(stretches(items, item, words, a, b))]
     return out
 
 
@@ -238,13 +255,16 @@ def remove_leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                spans = sorted((a, b) for _, a, b in leaks_in(items, text))
-                if spans:
+                spans, whole = sorted((a, b) for _, a, b in leaks_in(items, text)), text
+                while spans:  # what stood around a cut may leak once it is joined
                     kept, at = [], 0
                     for a, b in spans:
                         kept.append(text[at : max(at, a)])
                         at = max(at, b)
-                    out.append((doc, "".join(kept) + text[at:]))
+                    text = "".join(kept) + text[at:]
+                    spans = sorted((a, b) for _, a, b in leaks_in(items, text))
+                if text is not whole:
+                    out.append((doc, text))
             if out:
                 ids, texts = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
