@@ -1,8 +1,12 @@
 """Problem 7: readings of titles and tickers, and the links against known games."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm.linkage import Teams, event_records, linked_events, matched_pairs, read_ticker, read_title
+from tidemark.llm import linkage
+from tidemark.llm.linkage import (
+    Teams, asked_teams, calibrate, event_records, game_index, linked_events, matched_pairs, nearest_games, read_ticker, read_title, retrieve,
+)
 from tidemark.sources import load
 
 ROWS = [
@@ -62,3 +66,47 @@ def test_empty_tables(spark, data):
     assert matched_pairs(*[t.limit(0) for t in tables[:3]], *tables[3:]).count() == 0
     assert matched_pairs(*tables[:4], tables[4].limit(0)).count() == 0
     assert event_records(*[t.limit(0) for t in tables[:3]], tables[3].limit(0)).count() == 0
+
+
+def test_each_pair_is_asked_by_one_team():
+    pairs = [(f"1-{t}", 1.0) for t in range(2, 40)] + [("50-60", 0.5)]
+    asked = asked_teams(pairs)
+    assert [t for t, _ in asked] == [1, 50] and asked[0][1] == {t: 1.0 for t in range(2, 40)} and asked[1][1] == {60: 0.5}
+    assert asked_teams([]) == []
+
+
+def test_pruning_keeps_the_best_two(spark, data, monkeypatch):
+    tables = [load(spark, data, n) for n in ("odds_api", "kalshi_markets", "polymarket_events", "teams", "games")]
+    records, index = event_records(*tables[:4]).cache(), game_index(tables[4]).cache()
+    pruned = nearest_games(retrieve(records, index))
+    got = {r.key: (r.game_pk, round(r.score, 6), round(r.gap, 6)) for r in pruned.collect()}
+
+    def everything(records, index):
+        teams = index.select("game_pk", F.transform("teams", lambda t: t["at"].cast("int")).alias("t"))
+        hit = F.expr("exists(asks, a -> array_contains(t, a.team) and exists(map_keys(a.others), o -> array_contains(t, o)))")
+        return records.select("key", "asks").join(teams, hit).groupBy("key").agg(F.collect_list("game_pk").alias("games"))
+
+    monkeypatch.setattr(linkage, "candidates", everything)
+    want = {r.key: (r.game_pk, round(r.score, 6), round(r.gap, 6)) for r in nearest_games(retrieve(records, index)).collect()}
+    assert got == want and len(got) > 300
+
+
+def test_fit_without_labels_is_the_default_curve(spark):
+    nearest = spark.createDataFrame([("odds:a", 1, 0.5)], "key string, game_pk long, gap double")
+    slope, intercept = calibrate(nearest, spark.createDataFrame([], "key string, label long"))
+    assert (round(slope, 6), round(intercept, 6)) == (12.0, -0.5)
+
+
+def test_no_side_is_broadcast(spark, data):
+    tables = [load(spark, data, n) for n in ("odds_api", "kalshi_markets", "polymarket_events", "teams", "games")]
+    plan = retrieve(event_records(*tables[:4]), game_index(tables[4]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_extra_columns_and_nulls(spark, data):
+    tables = [load(spark, data, n) for n in ("odds_api", "kalshi_markets", "polymarket_events", "teams", "games")]
+    want = {tuple(r)[:2] for r in matched_pairs(*tables).collect()}
+    noisy = [t.withColumns({"key": F.lit("x"), "src": F.lit(1), "team": F.lit(None).cast("int"), "game": F.lit(2)}) for t in tables]
+    void = [t.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in t.schema]) for t in noisy]
+    got = {tuple(r)[:2] for r in matched_pairs(*[t.unionByName(v) for t, v in zip(noisy, void)]).collect()}
+    assert got == want

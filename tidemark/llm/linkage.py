@@ -1,14 +1,17 @@
 """Problem 7: the same games in sources that share no identifier.
 
 Cross-table retrieval: every event of a source is a query against an inverted
-index over the attributes of the schedule's games (both teams, official day,
-starts of all versions, number in a doubleheader), scored by BM25.  Only
-postings that name both teams and a day or an hour are followed: a pair that
-shares none of them can't reach the score of one that does, so the pruning is
-exact.  An event and a game belong together if each is the other's nearest;
-the confidence comes from the score gap through a logistic curve fitted on the
-events whose game is known.  Events of different sources that belong to one
-game are a match.
+index of the schedule's games, scored by BM25.  A game is a document of four
+attributes (teams, official days, starts, number in a doubleheader), its
+versions give the term frequencies and its length, and every attribute value
+has its own document frequency.  Both teams must match, and a day or a start;
+so only the postings of (team, day) are followed, by one team of each pair an
+event may mean.  They give each candidate a lower and an upper bound of its
+score, and only candidates whose upper bound reaches the event's second-best
+lower bound are scored in full: the best two stay exact.  An event and a game
+belong together if each is the other's nearest; the confidence comes from the
+score gap through a logistic curve fitted on the events whose game is known.
+Events of different sources that belong to one game are a match.
 """
 
 from __future__ import annotations
@@ -23,14 +26,24 @@ from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.timestamps import normalise
 from tidemark.sources import settled
 
-K1, B = 1.2, 0.4
-SLOT_MINUTES, NEAR_MINUTES = 30, 45
+#: BM25: saturation of term frequencies, weight of the document length; at 1 a value that all versions of a game
+#: show weighs the same however many versions there are.
+K1, B = 1.2, 1.0
+#: Starts are counted in slots for their document frequency; a start matches within NEAR_MINUTES, half as well at the edge.
+SLOT_MINUTES, NEAR_MINUTES = 30, 90
+#: A neighbouring day counts a quarter; among games of a day the nearer start counts up to a fifth of a day more.
+NEXT_DAY, DAY_CLOSENESS, DAY_SCALE = 0.25, 0.2, 720
+#: An exchange's event first seen this long after a game's last start is unlikely to mean it.
+LATE_MINUTES, LATE = 360, 0.3
+#: The least share of a misspelt mention's trigram weight that a team's name must hold.
+MENTION_SHARE = 0.4
+#: The team table is fixed; more rows than this are no team table.
 MAX_TEAMS = 20_000
 ACCEPT = 0.5
 GAP_BINS = 64
@@ -40,7 +53,8 @@ _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 _RECORD = (
     "key string, src string, pairs array<struct<pair: string, weight: double>>, "
-    "starts array<struct<minute: bigint, weight: double>>, days array<struct<day: int, weight: double>>, number int, seen bigint"
+    "starts array<struct<minute: bigint, weight: double>>, days array<struct<day: int, weight: double>>, number int, seen bigint, "
+    "asks array<struct<team: int, others: map<int,double>>>, wanted array<struct<day: int, weight: double, clock: double>>"
 )
 
 
@@ -124,10 +138,7 @@ class Teams:
                 score[t] += self.idf[g]
         if not score or not whole:
             return {}
-        top = max(score.values())
-        if top < 0.4 * whole:
-            return {}
-        return {t: s / whole for t, s in score.items() if s >= 0.85 * top}
+        return {t: s / whole for t, s in score.items() if s >= MENTION_SHARE * whole}
 
 
 # -- titles, tickers, times --------------------------------------------------------
@@ -223,10 +234,36 @@ def team_pairs(sides: list[list[dict[int, float]]]) -> list[tuple[str, float]]:
     return sorted(out.items())
 
 
+def asked_teams(pairs: list[tuple[str, float]]) -> list[tuple[int, dict[int, float]]]:
+    """(team, {opponent: weight}): few teams that stand in all pairs, so that each pair is sought by one of its teams only."""
+    left = {tuple(map(int, p.split("-"))): w for p, w in pairs}
+    out = []
+    while left:
+        often = Counter(t for pair in left for t in pair)
+        team = min(often, key=lambda t: (-often[t], t))
+        out.append((team, {a + b - team: w for (a, b), w in left.items() if team in (a, b)}))
+        left = {pair: w for pair, w in left.items() if team not in pair}
+    return out
+
+
+def wanted_days(starts: list[tuple[int, float]], days: list[tuple[int, float]]) -> list[tuple[int, float, float]]:
+    """(day, weight of the day, weight a start on it may have): all days on which a game can share a day or a start."""
+    by_day: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    for d, w in days:
+        for shift in (-1, 0, 1):
+            by_day[d + shift][0] = max(by_day[d + shift][0], w if shift == 0 else NEXT_DAY * w)
+    for m, w in starts:
+        for d in {*_days_of(m - NEAR_MINUTES), *_days_of(m + NEAR_MINUTES)}:
+            by_day[d][1] = max(by_day[d][1], w)
+    return [(d, *w) for d, w in sorted(by_day.items())]
+
+
 def _emit(key, src, pairs, starts, days, number, seen) -> tuple:
+    starts, days = [x for x in starts if x[0] is not None], [x for x in days if x[0] is not None]
     return (
-        key, src, [{"pair": p, "weight": w} for p, w in pairs], [{"minute": m, "weight": w} for m, w in starts if m is not None],
-        [{"day": d, "weight": w} for d, w in days if d is not None], number, seen,
+        key, src, [{"pair": p, "weight": w} for p, w in pairs], [{"minute": m, "weight": w} for m, w in starts],
+        [{"day": d, "weight": w} for d, w in days], number, seen, [{"team": t, "others": o} for t, o in asked_teams(pairs)],
+        [{"day": d, "weight": w, "clock": c} for d, w, c in wanted_days(starts, days)],
     )
 
 
@@ -285,6 +322,8 @@ def poly_record(key: str, title: str, end: int | None, seen: int | None, teams:
         near = [d for d in near if d is not None]
         anchor = (end if end is not None else seen or 0) // 1440
         days = [(min(near, key=lambda d: abs(d - anchor)), 1.0)] if near else days
+        # a day in the title outweighs the guesses about the start
+        starts = [x for x in starts if any(abs(d - days[0][0]) <= 1 for d in _days_of(x[0]))] if near else starts
     return _emit(f"poly:{key}", "poly", pairs, starts, days, number, seen)
 
 
@@ -364,7 +403,7 @@ def event_records(odds: DataFrame, markets: DataFrame, polys: DataFrame, teams:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Teams(rows.value, codes.value)
-        columns = [c.split()[0] for c in ("key", "src", "pairs", "starts", "days", "number", "seen")]
+        columns = ["key", "src", "pairs", "starts", "days", "number", "seen", "asks", "wanted"]
         for pdf in frames:
             out = []
             for src, key, texts, at, seen in pdf[["src", "id", "texts", "at", "seen"]].itertuples(index=False):
@@ -381,62 +420,121 @@ def event_records(odds: DataFrame, markets: DataFrame, polys: DataFrame, teams:
     return events.mapInPandas(run, _RECORD).where(F.size("pairs") > 0)
 
 
-def game_attributes(games: DataFrame) -> DataFrame:
-    """game_pk, pair, starts (minutes of all versions), days, number: the indexed attributes of each game."""
-    known = games.where("game_pk is not null and home_team_id is not null and away_team_id is not null")
-    pair = F.concat_ws("-", F.least("home_team_id", "away_team_id"), F.greatest("home_team_id", "away_team_id"))
-    return known.groupBy("game_pk", pair.alias("pair")).agg(
-        F.collect_set(_minute("scheduled_start_ts")).alias("starts"),
-        F.collect_set(F.unix_date("game_date_local")).alias("days"),
-        F.max(F.when(F.coalesce("doubleheader", F.lit("N")) != "N", F.col("game_number"))).alias("number"),
-        F.max(_minute("scheduled_start_ts")).alias("last_start"),
-    )
+def bm25(tf, idf, norm) -> F.Column:
+    """BM25 weight of a term; ``norm`` is K1 times the length factor of the document."""
+    return idf * tf * (K1 + 1) / (tf + norm)
 
 
-def retrieve(records: DataFrame, index: DataFrame) -> DataFrame:
-    """key, src, game_pk, score: BM25 over the shared attributes, all candidates that share a pair and a day or hour."""
-    slot = lambda m: F.floor(m / F.lit(SLOT_MINUTES)).cast("bigint")
-    n = F.lit(float(max(1, index.select("game_pk").distinct().count())))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hours = index.select("game_pk", "pair", "number", "last_start", F.explode("starts").alias("minute")).withColumn("slot", slot(F.col("minute")))
-    hours = hours.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("pair", "slot")))
-    dates = index.select("game_pk", "pair", "number", "last_start", F.col("starts").alias("game_starts"), F.explode("days").alias("day"))
-    dates = dates.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("pair", "day")))
-    length = F.size("pairs")
-    norm = (K1 + 1) / (1 + K1 * (1 - B + B * F.least(length, F.lit(50)) / 2.0))
-    asks = records.select("key", "src", norm.alias("norm"), F.col("number").alias("ask_number"), "seen", "starts", "days", F.explode("pairs").alias("p"))
-    asks = asks.select("*", F.col("p.pair").alias("pair"), F.col("p.weight").alias("pair_weight")).drop("p")
-    by_hour = (
-        asks.select("*", F.explode("starts").alias("s"))
-        .withColumn("slot", F.explode(F.array(*[slot(F.col("s.minute")) + d for d in (-2, -1, 0, 1, 2)])))
-        .join(hours, ["pair", "slot"])
-        .withColumn("off", F.abs(F.col("s.minute") - F.col("minute")))
-        .where(F.col("off") <= NEAR_MINUTES)
-        .select("key", "src", "game_pk", "norm", "number", "ask_number", "seen", "last_start",
-                (F.col("pair_weight") * F.col("s.weight") * idf * (1 - F.col("off") / 90.0)).alias("hour"), F.lit(0.0).alias("date"))
+def game_index(games: DataFrame) -> DataFrame:
+    """game_pk, teams, days, starts, numbers, norm, last_start: the attribute vectors of all games.
+
+    Each attribute value stands with its document frequency as ``idf`` and the
+    number of the game's versions that show it as ``tf``; ``norm`` holds the
+    length factor.  Rows without a game or a team are left out.
+    """
+    known = games.where("game_pk is not null and home_team_id is not null and away_team_id is not null")
+    number = F.when(F.coalesce("doubleheader", F.lit("N")) != "N", F.col("game_number"))
+    values = {"home": "home_team_id", "away": "away_team_id", "day": F.unix_date("game_date_local"), "clock": _minute("scheduled_start_ts"), "number": number}
+    cells = F.array(*[F.struct(F.lit(f if f not in ("home", "away") else "team").alias("field"), (F.col(c) if isinstance(c, str) else c).cast("bigint").alias("value")) for f, c in values.items()])
+    tf = known.select("game_pk", F.inline(cells)).where("value is not null").groupBy("game_pk", "field", "value").agg(F.count(F.lit(1)).alias("tf"))
+    tf = tf.withColumn("term", F.when(F.col("field") == "clock", F.floor(F.col("value") / SLOT_MINUTES)).otherwise(F.col("value")))
+    # one row of counts
+    size = known.groupBy("game_pk").agg(F.count(F.lit(1)).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("dl")).first()
+    n, mean = F.lit(float(size.n)), F.lit(float(size.dl or 1.0))
+    df = tf.select("field", "term", "game_pk").distinct().groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    terms = tf.join(df.hint("merge"), ["field", "term"]).withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    of = lambda f: F.collect_list(F.when(F.col("field") == f, F.struct(F.col("value").alias("at"), "tf", "idf")))
+    # a game's attribute values are few: versions with equal values were counted above
+    held = terms.groupBy("game_pk").agg(
+        of("team").alias("teams"), of("day").alias("days"), of("clock").alias("starts"), of("number").alias("numbers"),
+        F.sum(F.when(F.col("field") == "team", F.col("tf"))).alias("dl"), F.max(F.when(F.col("field") == "clock", F.col("value"))).alias("last_start"),
     )
-    by_day = (
-        asks.select("*", F.explode("days").alias("d"))
-        .withColumn("shift", F.explode(F.array(*[F.lit(x) for x in (-1, 0, 1)])))
-        .withColumn("day", F.col("d.day") + F.col("shift"))
-        .join(dates, ["pair", "day"])
-        .withColumn("off", F.array_min(F.flatten(F.transform("starts", lambda a: F.transform("game_starts", lambda g: F.abs(a["minute"] - g))))))
-        .withColumn("close", F.greatest(F.lit(0.0), 1 - F.coalesce("off", F.lit(1440)) / 720.0))
-        .select("key", "src", "game_pk", "norm", "number", "ask_number", "seen", "last_start", F.lit(0.0).alias("hour"),
-                (F.col("pair_weight") * F.col("d.weight") * idf * (F.when(F.col("shift") == 0, 1.0).otherwise(0.25) + 0.2 * F.col("close"))).alias("date"))
+    return held.select("game_pk", "teams", "days", "starts", "numbers", (K1 * (1 - B + B * F.col("dl") / 2 / mean)).alias("norm"), "last_start")
+
+
+def _days_on(minute: F.Column) -> list[F.Column]:
+    return [F.floor((minute - h * 60) / 1440) for h in (4, 8)]
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """team, day, other, game_pk and the bounds a posting knows: one row per game, ordered pair of its teams, and day it has or may start on."""
+    weight = lambda a, norm: bm25(a["tf"], a["idf"], norm)
+    norm = F.col("norm")
+    own = F.transform("days", lambda d: F.struct(d["at"].alias("day"), weight(d, norm).alias("by_day")))
+    of_starts = F.transform(F.flatten(F.transform("starts", lambda s: F.array(*_days_on(s["at"])))), lambda d: F.struct(d.alias("day"), F.lit(0.0).alias("by_day")))
+    pairs = F.filter(
+        F.flatten(F.transform("teams", lambda a: F.transform("teams", lambda b: F.struct(a["at"].cast("int").alias("team"), b["at"].cast("int").alias("other"), (weight(a, norm) + weight(b, norm)).alias("by_team"))))),
+        lambda p: p["team"] != p["other"],
     )
-    found = by_hour.unionByName(by_day).groupBy("key", "src", "game_pk").agg(
-        F.max("hour").alias("hour"), F.max("date").alias("date"), F.first("norm").alias("norm"), F.max("number").alias("number"),
-        F.first("ask_number").alias("ask_number"), F.first("seen").alias("seen"), F.max("last_start").alias("last_start"),
+    most_idf = lambda c: F.coalesce(F.array_max(F.transform(c, lambda x: x["idf"])), F.lit(0.0))
+    tops = index.select(
+        "game_pk", "last_start", F.concat(own, of_starts).alias("on"), F.inline(pairs), (most_idf("starts") * (K1 + 1)).alias("clock_top"),
+        (most_idf("numbers") * (K1 + 1)).alias("number_top"), F.coalesce(F.array_max(F.transform("days", lambda d: weight(d, norm))), F.lit(0.0)).alias("day_top"),
     )
-    agree = (
-        F.when(F.col("ask_number").isNull() | F.col("number").isNull(), 0.0)
-        .when(F.col("ask_number") == F.col("number"), 2.5)
-        .otherwise(-2.5)
-    )
+    rows = tops.select("game_pk", "last_start", "team", "other", "by_team", "clock_top", "number_top", "day_top", F.inline("on"))
+    keys = ["team", F.col("day").cast("int").alias("day"), "other", "game_pk"]
+    return rows.groupBy(*keys).agg(F.max("by_day").alias("by_day"), *[F.first(c).alias(c) for c in ("by_team", "last_start", "clock_top", "number_top", "day_top")])
+
+
+def _late(src, seen, last_start) -> F.Column:
     # exchanges list a game before it starts
-    late = F.when((F.col("src") != "odds") & (F.col("seen") > F.col("last_start") + 360), 0.3).otherwise(1.0)
-    return found.select("key", "src", "game_pk", ((F.col("hour") + F.col("date") + agree) * F.col("norm") * late).alias("score"))
+    return F.when((src != "odds") & (seen > last_start + LATE_MINUTES), LATE).otherwise(1.0)
+
+
+def candidates(records: DataFrame, index: DataFrame) -> DataFrame:
+    """key, games: the games that can be among an event's best two, from the postings of (team, day) and their bounds.
+
+    A pair of teams is sought by one of its teams, so an event gives one thin
+    row per asked team and day; neither side of the join is ever broadcast.
+    """
+    asks = records.select("key", "src", "seen", F.inline("asks"), "wanted").select("key", "src", "seen", "team", "others", F.inline("wanted"))
+    hits = (
+        asks.hint("merge").join(postings(index).hint("merge"), ["team", "day"])
+        .withColumn("pair", F.try_element_at("others", F.col("other")))
+        .where("pair is not null")
+    )
+    late = _late(F.col("src"), F.col("seen"), F.col("last_start"))  # or not, if the day is named
+    low = F.col("pair") * F.col("by_team") + F.col("weight") * F.col("by_day")
+    # what the posting doesn't tell: the start, how near it is on the day, the number, another day of the game
+    rest = F.col("clock") * F.col("clock_top") + F.col("number_top") + (1 + DAY_CLOSENESS) * F.col("day_top")
+    each = hits.groupBy("key", "game_pk").agg(F.max(low * late).alias("low"), F.max(low + rest).alias("high"))
+    # bounded by the games two teams play within the days an event may mean
+    own = each.groupBy("key").agg(F.collect_list(F.struct("low", "high", "game_pk")).alias("c"))
+    second = F.coalesce(F.try_element_at(F.sort_array(F.transform("c", lambda x: x["low"]), asc=False), F.lit(2)), F.lit(0.0))
+    return own.select("key", F.transform(F.filter("c", lambda x: x["high"] >= second), lambda x: x["game_pk"]).alias("games"))
+
+
+def retrieve(records: DataFrame, index: DataFrame) -> DataFrame:
+    """key, src, game_pk, score, on_day: BM25 over all attributes of every candidate.
+
+    on_day: a start lies within NEAR_MINUTES of one the game has had, or a day is an official day of the game.
+    """
+    asks = records.select("key", "src", "pairs", "starts", "days", F.col("number").alias("asked"), "seen").hint("merge")
+    found = candidates(records, index).hint("merge").join(asks, "key").withColumn("game_pk", F.explode("games")).drop("games")
+    g = index.select("game_pk", F.struct("teams", F.col("days").alias("on"), F.col("starts").alias("at"), "numbers", "norm", "last_start").alias("g")).hint("merge")
+    both = found.hint("merge").join(g, "game_pk")
+    norm = F.col("g.norm")
+    weight = lambda a: bm25(a["tf"], a["idf"], norm)
+    best = lambda c: F.coalesce(F.array_max(c), F.lit(0.0))
+    team_of = lambda pair, k: F.split_part(pair, F.lit("-"), F.lit(k)).cast("bigint")
+    team = lambda t: best(F.transform(F.filter("g.teams", lambda x: x["at"] == t), weight))
+    named = F.filter("pairs", lambda p: F.exists("g.teams", lambda x: x["at"] == team_of(p["pair"], 1)) & F.exists("g.teams", lambda x: x["at"] == team_of(p["pair"], 2)))
+    by_team = best(F.transform(named, lambda p: p["weight"] * (team(team_of(p["pair"], 1)) + team(team_of(p["pair"], 2)))))
+    near = lambda m: F.filter("g.at", lambda v: F.abs(m - v["at"]) <= NEAR_MINUTES)
+    # a start's term frequency: the versions that show it, each as much as it is near
+    soft = lambda m: F.aggregate(near(m), F.lit(0.0), lambda a, v: a + v["tf"] * (1 - F.abs(m - v["at"]) / (2.0 * NEAR_MINUTES)))
+    by_clock = best(F.transform("starts", lambda s: s["weight"] * bm25(soft(s["minute"]), best(F.transform(near(s["minute"]), lambda v: v["idf"])), norm)))
+    off = F.array_min(F.flatten(F.transform("starts", lambda s: F.transform("g.at", lambda v: F.abs(s["minute"] - v["at"])))))
+    close = DAY_CLOSENESS * F.greatest(F.lit(0.0), 1 - F.coalesce(off, F.lit(DAY_SCALE)) / float(DAY_SCALE))
+    shifted = lambda d, v: F.when(d["day"] == v["at"], 1.0 + F.col("close")).when(F.abs(d["day"] - v["at"]) == 1, NEXT_DAY + F.col("close"))
+    by_day = best(F.flatten(F.transform("days", lambda d: F.transform("g.on", lambda v: d["weight"] * weight(v) * F.coalesce(shifted(d, v), F.lit(0.0))))))
+    named_day = F.arrays_overlap(F.transform("days", lambda d: d["day"].cast("bigint")), F.transform("g.on", lambda v: v["at"]))
+    # the number is one of the day's games
+    by_number = F.when(F.col("on_day"), best(F.transform(F.filter("g.numbers", lambda v: v["at"] == F.col("asked")), weight))).otherwise(0.0)
+    parts = both.withColumn("close", close).withColumn("by_clock", by_clock).withColumn("named_day", named_day).withColumn("on_day", F.col("named_day") | (F.col("by_clock") > 0)).select("key", "src", "game_pk", "seen", F.col("g.last_start").alias("last_start"), by_team.alias("by_team"), "by_clock", "on_day", "named_day", by_day.alias("by_day"), by_number.alias("by_number"))
+    late = F.when(F.col("named_day"), 1.0).otherwise(_late(F.col("src"), F.col("seen"), F.col("last_start")))
+    score = (F.col("by_team") + F.col("by_clock") + F.col("by_day") + F.col("by_number")) * late
+    return parts.where("by_team > 0 and by_clock + by_day > 0").select("key", "src", "game_pk", score.alias("score"), "on_day")
 
 
 #: Sources that may list a game more than once.
@@ -446,29 +544,32 @@ REPEATING = ("odds",)
 def nearest_games(scored: DataFrame) -> DataFrame:
     """key, src, game_pk, score, gap: each event's best game, if it is the game's best event of that source too.
 
-    In a source that may list a game twice, events of a score near the best
-    are nearest as well.
-    ``gap`` is the lead over the second-best game, relative to the best score.
+    Twins: in a source that may list a game twice, an event that isn't the
+    game's best is kept too if it names both teams (all candidates do) and
+    agrees with the game's day or one of its starts (``on_day``).  ``gap`` is the lead over
+    the second-best game, relative to the best score.  Nothing is ranked within
+    a game: its best event comes from an aggregate that combines before the
+    shuffle.
     """
-    mine = Window.partitionBy("key").orderBy(F.desc("score"), "game_pk")
-    best = (
-        scored.where("score > 0")
-        .withColumns({"rank": F.row_number().over(mine), "next": F.lead("score").over(mine)})
-        .where("rank = 1")
-        .withColumn("gap", (F.col("score") - F.coalesce("next", F.lit(0.0))) / F.col("score"))
-    )
-    theirs = Window.partitionBy("game_pk", "src")
-    place = F.row_number().over(theirs.orderBy(F.desc("score"), "key"))
-    near = F.col("src").isin(*REPEATING) & (F.col("score") >= 0.35 * F.col("top"))
-    placed = best.withColumns({"top": F.max("score").over(theirs), "place": place})
-    return placed.where(near | (F.col("place") == 1)).drop("rank", "next", "top", "place")
+    order = lambda c: F.struct(F.col("score"), (-F.col(c)) if c == "game_pk" else F.col(c))
+    mine = scored.where("score > 0").groupBy("key", "src").agg(
+        F.max_by(F.struct("game_pk", "score", "on_day"), order("game_pk")).alias("top"),
+        # bounded by the candidates of one event
+        F.try_element_at(F.sort_array(F.collect_list("score"), asc=False), F.lit(2)).alias("next"),
+    )
+    best = mine.select("key", "src", "top.*", ((F.col("top.score") - F.coalesce("next", F.lit(0.0))) / F.col("top.score")).alias("gap"))
+    theirs = best.groupBy("game_pk", "src").agg(F.min_by("key", F.struct(-F.col("score"), "key")).alias("first"))
+    placed = best.hint("merge").join(theirs.hint("merge"), ["game_pk", "src"])
+    twin = F.col("src").isin(*REPEATING) & F.col("on_day")
+    return placed.where(twin | (F.col("key") == F.col("first"))).select("key", "src", "game_pk", "score", "gap")
 
 
 def calibrate(nearest: DataFrame, labels: DataFrame) -> tuple[float, float]:
     """(slope, intercept) of the logistic curve over the gap, fitted on all labelled events.
 
     Events are counted in GAP_BINS bins, so the fit sees every label and the
-    driver a fixed number of rows.  Too few labels leave the default curve.
+    driver a fixed number of rows.  A weak pull to a default curve, worth about
+    one label, settles the fit where labels are few; without any, it is that curve.
     """
     binned = (
         nearest.join(labels, "key")
@@ -477,8 +578,6 @@ def calibrate(nearest: DataFrame, labels: DataFrame) -> tuple[float, float]:
         .collect()
     )
     w0, w1 = -0.5, 12.0
-    if sum(r.n for r in binned) < 50:
-        return w1, w0
     prior0, prior1 = w0, w1
     for _ in range(50):  # Newton steps with a weak pull to the default curve
         g0 = g1 = h00 = h01 = h11 = 0.0
@@ -500,7 +599,7 @@ def calibrate(nearest: DataFrame, labels: DataFrame) -> tuple[float, float]:
 def linked_events(odds: DataFrame, markets: DataFrame, polys: DataFrame, teams: DataFrame, games: DataFrame) -> DataFrame:
     """key, src, game_pk, confidence of every event that finds its game."""
     records = settled(event_records(odds, markets, polys, teams), "records")
-    index = settled(game_attributes(games), "index")
+    index = settled(game_index(games), "index")
     nearest = settled(nearest_games(retrieve(records, index)), "nearest")
     labels = (
         odds.where("game_pk is not null and id is not null")
@@ -519,7 +618,7 @@ def matched_pairs(odds: DataFrame, markets: DataFrame, polys: DataFrame, teams:
     of no game, or with a doubtful game give no row; null ids are left out.
     """
     linked = linked_events(odds, markets, polys, teams, games).where(F.col("confidence") >= accept)
-    a, b = linked.alias("a"), linked.alias("b")
+    a, b = linked.alias("a").hint("merge"), linked.alias("b").hint("merge")
     pair = a.join(b, (F.col("a.game_pk") == F.col("b.game_pk")) & (F.col("a.src") < F.col("b.src")))
     return pair.select(
         F.least("a.key", "b.key").alias("key_a"), F.greatest("a.key", "b.key").alias("key_b"),
