@@ -6,7 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.nested import child_rows, feed_children, list_items, list_state, market_children, odds_children, odds_variants, subtype_table
+from tidemark.operators import nested
+from tidemark.operators.nested import child_rows, feed_children, list_items, list_state, market_children, odds_children, odds_variants, subtype_tables
 from tidemark.sources import load
 
 
@@ -72,12 +73,30 @@ def test_feed_corner_cases(spark):
 
 
 def test_variants_route_to_subtypes(spark, data):
-    odds = load(spark, data, "odds_api")
-    variants = odds_variants(odds)
-    children = odds_children(odds)
-    names = [r.variant for r in variants.select("variant").distinct().collect()]
-    assert len(names) > 2
-    assert sum(subtype_table(children, variants, v).count() for v in names) == children.count()
+    for src, children in nested.CHILDREN.items():
+        rows = children(load(spark, data, src))
+        tables = subtype_tables(src, rows)
+        assert sum(t.count() for t in tables.values()) == rows.count()
+        states = [{r.state for r in t.select("state").distinct().collect()} for t in tables.values()]
+        assert not set.intersection(*states) and all(s <= set(nested.SUBTYPES[src][t][0]) for s, t in zip(states, tables))
+    assert odds_variants(load(spark, data, "odds_api")).select("variant").distinct().count() > 2
+
+
+def test_found_comes_from_the_routed_tables(spark, data):
+    plan = child_rows(*[load(spark, data, n) for n in nested.CHILDREN])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("subtype") >= 9 and "Generate" not in plan
+
+
+def test_odd_shapes_are_routed(spark):
+    odds = spark.sql("""SELECT 1L AS rec_id, CAST(NULL AS STRING) AS id, 1 AS state, array(NULL, named_struct('key', 'b', 'title', 't', 'last_update', NULL, 'markets', array(NULL,
+        named_struct('key', NULL, 'last_update', NULL, 'outcomes', array(NULL, named_struct('name', 'x', 'price', CAST(NULL AS DOUBLE), 'point', 1.5D), named_struct('name', NULL, 'price', 2D, 'point', CAST(NULL AS DOUBLE))))))) AS bookmakers""")
+    got = {t: [tuple(r)[1:4] for r in df.select("src", "pos", "item", "parent").collect()] for t, df in subtype_tables("odds_api", odds_children(odds)).items()}
+    assert got == {"line": [], "price": [("1.1.2", "|", ".1.1")], "unpriced": [("1.1.1", "|x", ".1.1")]}
+    feed = spark.createDataFrame([(1, '{"liveData": {"boxscore": {"teams": {"away": {"battingOrder": ["ID7", "8"]}}}}}')], "rec_id long, payload string")
+    tables = subtype_tables("mlb_game_feed", feed_children(feed))
+    assert [(r.pos, r.value) for r in tables["other"].collect()] == [("away.0", "ID7")] and [(r.num, r.number) for r in tables["batter"].collect()] == [(2, 8)]
+    events = spark.sql("""SELECT 1L AS rec_id, 'e' AS id, array(named_struct('id', 'm', 'conditionId', 'c', 'outcomes', '["a","b","c"]', 'outcomePrices', '["0.5","high"]', 'clobTokenIds', NULL)) AS markets""")
+    assert {t: [r.label for r in df.collect()] for t, df in subtype_tables("polymarket_events", market_children(events)).items()} == {"priced": ["a"], "unpriced": ["c"], "worded": ["b"]}
 
 
 def test_empty_tables(spark, data):

@@ -46,6 +46,15 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return nested.child_rows(*_nested(spark, base))
 
 
+def _subtype_of(src: str, subtype: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A typed subtype table; the variant's number is a hash that SQL hasn't got."""
+    return lambda spark, base: nested.subtype_table(src, nested.CHILDREN[src](load(spark, base, src)), subtype).drop("src", "variant")
+
+
+#: query -> (source, subtype)
+SUBTYPE_QUERIES = {f"p5_{src.split('_')[0]}_{t}": (src, t) for src, held in nested.SUBTYPES.items() for t in held}
+
+
 def p5_variants(spark: SparkSession, base: str) -> DataFrame:
     return nested.variant_counts(*_nested(spark, base))
 
@@ -63,12 +72,35 @@ QUERIES = {
     **{f"p3_{e}_table": _table_of(e) for e in ENDPOINTS},
     "p5_found": p5_found,
     "p5_variants": p5_variants,
+    **{q: _subtype_of(*of) for q, of in SUBTYPE_QUERIES.items()},
     "p6_found": p6_found,
 }
 
 _LIST = """CASE WHEN {0} IS NULL OR trim({0}) = '' THEN NULL WHEN {0} LIKE '"%' THEN CAST(json_extract_string('{{"v":' || {0} || '}}', '$.v') AS JSON)
 ELSE CAST(replace({0}, chr(39), '"') AS JSON) END"""
 
+_CHILDREN = f"""WITH ob AS (SELECT rec_id, id AS event_id, unnest(bookmakers) AS bk, generate_subscripts(bookmakers, 1) - 1 AS b FROM odds_api),
+om AS (SELECT rec_id, event_id, b, bk.key AS book_key, unnest(bk.markets) AS mk, generate_subscripts(bk.markets, 1) - 1 AS m FROM ob),
+oo AS (SELECT rec_id, event_id, b, m, book_key, mk.key AS k, unnest(mk.outcomes) AS o, generate_subscripts(mk.outcomes, 1) - 1 AS i FROM om),
+oc AS (SELECT 'odds_api' AS src, rec_id, b || '.' || m || '.' || i AS pos, coalesce(k, '') || '|' || coalesce(o.name, '') AS item, coalesce(event_id, '') || '.' || b || '.' || m AS parent,
+       event_id, book_key, k AS market_key, o.name AS outcome, o.price AS price, o.point AS point FROM oo WHERE o IS NOT NULL),
+pm AS (SELECT rec_id, id AS event_id, unnest(markets) AS mk, generate_subscripts(markets, 1) - 1 AS m FROM polymarket_events),
+pl AS (SELECT rec_id, event_id, m, mk.conditionId AS condition_id, CAST({_LIST.format("mk.outcomes")} AS VARCHAR[]) AS ls, CAST({_LIST.format("mk.outcomePrices")} AS VARCHAR[]) AS ps,
+       CAST({_LIST.format("mk.clobTokenIds")} AS VARCHAR[]) AS ts FROM pm),
+pi AS (SELECT rec_id, event_id, m, condition_id, ps, ts, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM pl),
+pc AS (SELECT 'polymarket_events' AS src, rec_id, m || '.' || (i - 1) AS pos, coalesce(l, '') || '|' || coalesce(ps[i], '') AS item, coalesce(event_id, '') || '.' || m AS parent, event_id, condition_id,
+       l AS label, ps[i] AS price_text, ts[i] AS token FROM pi),
+fd AS (SELECT rec_id, payload, coalesce(json_extract_string(payload, '$.gameData.game.pk'), json_extract_string(payload, '$.gamePk')) AS pk FROM mlb_game_feed),
+fb AS (SELECT rec_id, pk, 'home' AS side, CAST(json_extract(payload, '$.liveData.boxscore.teams.home.battingOrder') AS VARCHAR[]) AS bo FROM fd UNION ALL
+       SELECT rec_id, pk, 'away', CAST(json_extract(payload, '$.liveData.boxscore.teams.away.battingOrder') AS VARCHAR[]) FROM fd),
+fe AS (SELECT rec_id, pk, side, unnest(bo) AS value, generate_subscripts(bo, 1) - 1 AS n FROM fb),
+fi AS (SELECT rec_id, pk, unnest(CAST(json_extract(payload, '$.liveData.linescore.innings') AS JSON[])) AS x FROM fd),
+fr AS (SELECT rec_id, pk, json_extract_string(x, '$.num') AS num, 'home' AS side, json_extract_string(x, '$.home.runs') AS value FROM fi UNION ALL
+       SELECT rec_id, pk, json_extract_string(x, '$.num'), 'away', json_extract_string(x, '$.away.runs') FROM fi),
+fa AS (SELECT rec_id, pk AS parent, side || '.' || n AS pos, 'batter' AS label, CAST(n + 1 AS VARCHAR) AS num, side, value FROM fe WHERE value IS NOT NULL UNION ALL
+       SELECT rec_id, pk, 'inning.' || num || '.' || side, 'runs', num, side, value FROM fr WHERE value IS NOT NULL),
+fc AS (SELECT 'mlb_game_feed' AS src, *, coalesce(parent, '') || '|' || value AS item FROM fa) """
+
 _PLAIN = r"'\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ'"
 _STAMP = "'%Y-%m-%dT%H:%M:%SZ'"
 
@@ -87,25 +119,15 @@ SQL = {
         UNION ALL SELECT src, rec_id, pos, strftime(loc, '%Y-%m-%d') FROM r WHERE src = 'mlb_schedule.officialDate' AND loc IS NOT NULL AND NOT regexp_full_match(t, '\d{{4}}-\d\d-\d\d')
         UNION ALL SELECT 'open_meteo.hourly.time', rec_id, CAST(pos AS VARCHAR), strftime(at_ts, {_STAMP}) FROM {HOURS_SQL} WHERE at_ts IS NOT NULL AND NOT regexp_full_match(t, {_PLAIN})
     """,
-    "p5_found": f"""
-        WITH ob AS (SELECT rec_id, unnest(bookmakers) AS bk, generate_subscripts(bookmakers, 1) - 1 AS b FROM odds_api),
-        om AS (SELECT rec_id, b, unnest(bk.markets) AS mk, generate_subscripts(bk.markets, 1) - 1 AS m FROM ob),
-        oo AS (SELECT rec_id, b, m, mk.key AS k, unnest(mk.outcomes) AS o, generate_subscripts(mk.outcomes, 1) - 1 AS i FROM om),
-        pm AS (SELECT rec_id, unnest(markets) AS mk, generate_subscripts(markets, 1) - 1 AS m FROM polymarket_events),
-        pl AS (SELECT rec_id, m, CAST({_LIST.format("mk.outcomes")} AS VARCHAR[]) AS ls, CAST({_LIST.format("mk.outcomePrices")} AS VARCHAR[]) AS ps FROM pm),
-        pi AS (SELECT rec_id, m, ps, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM pl),
-        fd AS (SELECT rec_id, payload, coalesce(json_extract_string(payload, '$.gameData.game.pk'), json_extract_string(payload, '$.gamePk'), '') AS pk FROM mlb_game_feed),
-        fb AS (SELECT rec_id, pk, 'home' AS s, CAST(json_extract(payload, '$.liveData.boxscore.teams.home.battingOrder') AS VARCHAR[]) AS bo FROM fd UNION ALL
-               SELECT rec_id, pk, 'away', CAST(json_extract(payload, '$.liveData.boxscore.teams.away.battingOrder') AS VARCHAR[]) FROM fd),
-        fe AS (SELECT rec_id, pk, s, unnest(bo) AS id, generate_subscripts(bo, 1) - 1 AS n FROM fb),
-        fi AS (SELECT rec_id, pk, unnest(CAST(json_extract(payload, '$.liveData.linescore.innings') AS JSON[])) AS x FROM fd),
-        fr AS (SELECT rec_id, pk, json_extract_string(x, '$.num') AS num, 'home' AS s, json_extract_string(x, '$.home.runs') AS r FROM fi UNION ALL
-               SELECT rec_id, pk, json_extract_string(x, '$.num'), 'away', json_extract_string(x, '$.away.runs') FROM fi)
-        SELECT 'odds_api' AS src, rec_id, b || '.' || m || '.' || i AS pos, coalesce(k, '') || '|' || coalesce(o.name, '') AS item FROM oo WHERE o IS NOT NULL
-        UNION ALL SELECT 'polymarket_events', rec_id, m || '.' || (i - 1), coalesce(l, '') || '|' || coalesce(ps[i], '') FROM pi
-        UNION ALL SELECT 'mlb_game_feed', rec_id, s || '.' || n, pk || '|' || id FROM fe WHERE id IS NOT NULL
-        UNION ALL SELECT 'mlb_game_feed', rec_id, 'inning.' || num || '.' || s, pk || '|' || r FROM fr WHERE r IS NOT NULL
-    """,
+    "p5_found": _CHILDREN + "SELECT src, rec_id, pos, item FROM oc UNION ALL SELECT src, rec_id, pos, item FROM pc UNION ALL SELECT src, rec_id, pos, item FROM fc",
+    **{f"p5_odds_{t}": f"{_CHILDREN} SELECT rec_id, pos, item, parent, 'outcome(' || if(price IS NULL, 'absent', 'value') || ',' || if(point IS NULL, 'absent', 'value') || ')' AS state, event_id, book_key, market_key, outcome{more} FROM oc WHERE {where}"
+       for t, where, more in (("line", "price IS NOT NULL AND point IS NOT NULL", ", price, point"), ("price", "price IS NOT NULL AND point IS NULL", ", price"), ("unpriced", "price IS NULL", ", point"))},
+    **{f"p5_polymarket_{t}": f"{_CHILDREN} SELECT rec_id, pos, item, parent, 'label(' || if(label IS NULL, 'absent', 'value') || ',{held},' || if(token IS NULL, 'absent', 'value') || ')' AS state, event_id, condition_id, label{more}, token FROM pc WHERE {where}"
+       for t, held, where, more in (("priced", "number", "TRY_CAST(price_text AS DOUBLE) IS NOT NULL", ", TRY_CAST(price_text AS DOUBLE) AS price"), ("unpriced", "absent", "coalesce(price_text, '') = ''", ""),
+                                    ("worded", "text", "price_text <> '' AND TRY_CAST(price_text AS DOUBLE) IS NULL", ", price_text"))},
+    **{f"p5_mlb_{t}": f"{_CHILDREN} SELECT rec_id, pos, item, parent, label || '({held})' AS state, TRY_CAST(parent AS BIGINT) AS game_pk, side, TRY_CAST(num AS INTEGER) AS num, {value} FROM fc WHERE {where}"
+       for t, held, value, where in (("batter", "number", "TRY_CAST(value AS BIGINT) AS number", "label = 'batter' AND TRY_CAST(value AS DOUBLE) IS NOT NULL"), ("runs", "number", "TRY_CAST(value AS BIGINT) AS number", "label = 'runs' AND TRY_CAST(value AS DOUBLE) IS NOT NULL"),
+                                     ("other", "text", "value", "TRY_CAST(value AS DOUBLE) IS NULL"))},
     "p6_found": """
         WITH t AS (
             SELECT game_pk, scheduled_start_ts AS start_ts FROM (
