@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import linkage
 from tidemark.llm.linkage import (
-    Teams, asked_teams, calibrate, event_records, game_index, linked_events, matched_pairs, nearest_games, read_ticker, read_title, retrieve,
+    Teams, asked_teams, best_games, calibrate, event_records, game_index, linked_events, matched_pairs, nearest_games, read_ticker, read_title, retrieve,
 )
 from tidemark.sources import load
 
@@ -78,7 +78,7 @@ def test_each_pair_is_asked_by_one_team():
 def test_pruning_keeps_the_best_two(spark, data, monkeypatch):
     tables = [load(spark, data, n) for n in ("odds_api", "kalshi_markets", "polymarket_events", "teams", "games")]
     records, index = event_records(*tables[:4]).cache(), game_index(tables[4]).cache()
-    pruned = nearest_games(retrieve(records, index))
+    pruned = nearest_games(best_games(retrieve(records, index)))
     got = {r.key: (r.game_pk, round(r.score, 6), round(r.gap, 6)) for r in pruned.collect()}
 
     def everything(records, index):
@@ -87,7 +87,7 @@ def test_pruning_keeps_the_best_two(spark, data, monkeypatch):
         return records.select("key", "asks").join(teams, hit).groupBy("key").agg(F.collect_list("game_pk").alias("games"))
 
     monkeypatch.setattr(linkage, "candidates", everything)
-    want = {r.key: (r.game_pk, round(r.score, 6), round(r.gap, 6)) for r in nearest_games(retrieve(records, index)).collect()}
+    want = {r.key: (r.game_pk, round(r.score, 6), round(r.gap, 6)) for r in nearest_games(best_games(retrieve(records, index))).collect()}
     assert got == want and len(got) > 300
 
 

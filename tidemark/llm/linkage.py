@@ -541,23 +541,28 @@ def retrieve(records: DataFrame, index: DataFrame) -> DataFrame:
 REPEATING = ("odds",)
 
 
-def nearest_games(scored: DataFrame) -> DataFrame:
-    """key, src, game_pk, score, gap: each event's best game, if it is the game's best event of that source too.
+def best_games(scored: DataFrame) -> DataFrame:
+    """key, src, game_pk, score, on_day, gap: each event's best game.
 
-    Twins: in a source that may list a game twice, an event that isn't the
-    game's best is kept too if it names both teams (all candidates do) and
-    agrees with the game's day or one of its starts (``on_day``).  ``gap`` is the lead over
-    the second-best game, relative to the best score.  Nothing is ranked within
-    a game: its best event comes from an aggregate that combines before the
-    shuffle.
+    ``gap`` is the lead over the second-best game, relative to the best score.
     """
-    order = lambda c: F.struct(F.col("score"), (-F.col(c)) if c == "game_pk" else F.col(c))
     mine = scored.where("score > 0").groupBy("key", "src").agg(
-        F.max_by(F.struct("game_pk", "score", "on_day"), order("game_pk")).alias("top"),
+        F.max_by(F.struct("game_pk", "score", "on_day"), F.struct("score", -F.col("game_pk"))).alias("top"),
         # bounded by the candidates of one event
         F.try_element_at(F.sort_array(F.collect_list("score"), asc=False), F.lit(2)).alias("next"),
     )
-    best = mine.select("key", "src", "top.*", ((F.col("top.score") - F.coalesce("next", F.lit(0.0))) / F.col("top.score")).alias("gap"))
+    return mine.select("key", "src", "top.*", ((F.col("top.score") - F.coalesce("next", F.lit(0.0))) / F.col("top.score")).alias("gap"))
+
+
+def nearest_games(best: DataFrame) -> DataFrame:
+    """key, src, game_pk, score, gap: the events of ``best_games`` that are their game's best event of that source too.
+
+    Twins: in a source that may list a game twice, an event that isn't the
+    game's best is kept too if it names both teams (all candidates do) and
+    agrees with the game's day or one of its starts (``on_day``).  Nothing is
+    ranked within a game: its best event comes from an aggregate that combines
+    before the shuffle.
+    """
     theirs = best.groupBy("game_pk", "src").agg(F.min_by("key", F.struct(-F.col("score"), "key")).alias("first"))
     placed = best.hint("merge").join(theirs.hint("merge"), ["game_pk", "src"])
     twin = F.col("src").isin(*REPEATING) & F.col("on_day")
@@ -600,7 +605,8 @@ def linked_events(odds: DataFrame, markets: DataFrame, polys: DataFrame, teams:
     """key, src, game_pk, confidence of every event that finds its game."""
     records = settled(event_records(odds, markets, polys, teams), "records")
     index = settled(game_index(games), "index")
-    nearest = settled(nearest_games(retrieve(records, index)), "nearest")
+    best = settled(best_games(retrieve(records, index)), "best")
+    nearest = settled(nearest_games(best), "nearest")
     labels = (
         odds.where("game_pk is not null and id is not null")
         .groupBy(F.concat(F.lit("odds:"), "id").alias("key"))
