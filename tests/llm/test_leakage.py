@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tidemark.llm import leakage
 from tidemark.llm.leakage import EDIT_IN, MIN_WORDS, Items, leaked_items, leaks_in, remove_leaks
 from tidemark.sources import load
 
@@ -89,3 +90,23 @@ def test_repeated_passage_is_cut_each_time(spark, between, times):
     items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
     left = remove_leaks(spark.createDataFrame([(7, text)], "doc_id long, text string"), items).first().text
     assert "quick" not in left and left.startswith("Before.") and left.endswith("After.")
+
+
+def test_damaged_words_cost_nothing():
+    words = PASSAGE.lower().split()
+    hurt = [w if k % 4 else w[0] + "\ufffd" + w[2:] for k, w in enumerate(words)]  # every fourth word, short ones too
+    assert leaks_in(Items([(1, PASSAGE)]), " ".join(hurt))
+    junk = " ".join(w + ".Â" if k % 3 else w for k, w in enumerate(words)) + " a"
+    assert leaks_in(Items([(1, PASSAGE + " a")]), junk)
+
+
+def test_items_in_parts(spark, monkeypatch):
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(6)], "item_id long, text string")
+    texts = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(6)]
+    docs = spark.createDataFrame([(i, f"start {t} end") for i, t in enumerate(texts)] + [(9, " and ".join(texts)), (10, "clean"), (11, None)], "doc_id long, text string")
+    whole = {tuple(r) for r in leaked_items(docs, items).collect()}
+    left = {tuple(r) for r in remove_leaks(docs, items).collect()}
+    monkeypatch.setattr(leakage, "MAX_ITEM_BYTES", 300)
+    assert len(leakage._item_parts(items)) > 1
+    assert {tuple(r) for r in leaked_items(docs, items).collect()} == whole == {(i, i) for i in range(6)} | {(9, i) for i in range(6)}
+    assert {tuple(r) for r in remove_leaks(docs, items).collect()} == left and len(left) == 7

@@ -1,7 +1,7 @@
 """Problem 9: held-out evaluation passages inside training texts.
 
 The evaluation items are a fixed, small table: their normalised word n-grams
-are broadcast as a hash set (its size is checked).  One scan slides over every
+are broadcast as a set of gram numbers (in parts, if they are large).  One scan slides over every
 text's words; windows with enough hits of one item are verified by an exact
 alignment, whose spans are reported and can be cut out of the text.
 """
@@ -12,13 +12,15 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources import spread
+from tidemark.sources import settled, spread
 
 #: A leak: so many consecutive words of an item, with at most one edit in EDIT_IN of them.
 MIN_WORDS, EDIT_IN = 25, 6
@@ -43,8 +45,7 @@ class Items:
         self.words: dict[int, list[str]] = {}
         self.weights: dict[int, np.ndarray] = {}
         self.units: dict[int, np.ndarray] = {}
-        self.grams: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-        self.vocabulary: set[str] = set()
+        grams: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
         for item, text in rows:
             words, weights, units = [], [], []
             for unit, raw in enumerate(_RAW.findall(_strip((text or "").lower()))):
@@ -55,73 +56,121 @@ class Items:
             if len(set(units)) < MIN_WORDS:
                 continue
             self.words[item], self.weights[item], self.units[item] = words, np.array(weights), np.array(units)
-            self.vocabulary.update(words)
             for k in range(len(words) - GRAM + 1):
-                self.grams[tuple(words[k : k + GRAM])].append((item, k))
-        self.patterns: dict[str, str | None] = {}
-
-    def words_of(self, text: str) -> tuple[list[str], list[tuple[int, int]]]:
-        """Normalised words of a text and their places in it.
-
-        Accents, case, punctuation and line marks fall away.  A token with odd
-        characters is read as accented, as parted by them, or as damaged,
-        whichever gives words of the items.
+                grams[tuple(words[k : k + GRAM])].append((item, k))
+        self.ids = {w: i for i, w in enumerate(dict.fromkeys(w for ws in self.words.values() for w in ws))}
+        self.grams = {self._code([self.ids[w] for w in g]): places for g, places in grams.items()}
+        self.codes = np.array(sorted(self.grams), dtype=np.int64)
+        self.readings: dict[str, list] = {}
+        self.lengths: dict[int, list[str]] = defaultdict(list)
+        for w in self.ids:
+            self.lengths[len(w)].append(w)
+
+    def _code(self, ids):
+        """One number for GRAM word numbers (also arrays of them)."""
+        out = ids[0]
+        for i in ids[1:]:
+            out = out * len(self.ids) + i
+        return out
+
+    def read(self, raw: str) -> list:
+        """Words of a token with characters beyond ASCII, in lower case: texts, or a tuple of the item words it may be.
+
+        It is read without its odd characters, as accented, as parted by them,
+        or as damaged, whichever gives words of the items.
         """
-        words, places = [], []
+        if raw not in self.readings:
+            if len(self.readings) > 200_000:
+                self.readings.clear()  # a memory of readings, nothing else
+            self.readings[raw] = self._read(raw)
+        return self.readings[raw]
+
+    def _read(self, raw: str) -> list:
+        known = lambda words: words and all(w in self.ids for w in words)
+        apart, stripped = _WORD.findall(raw), _WORD.findall(_strip(raw))
+        if known(apart):
+            return apart
+        if known(stripped):
+            return stripped
+        if any(w in self.ids for w in apart):
+            return apart
+        return [fit] if (fit := self._fitting(raw, apart)) else stripped
+
+    def _fitting(self, raw: str, kept: list[str]) -> tuple[str, ...]:
+        """All item words that fit a damaged token, odd characters standing for up to three letters each."""
+        least = sum(map(len, kept))
+        if not least:
+            return ()
+        most = least + 3 * (len(raw) - least)
+        near = [w for n, ws in self.lengths.items() if least <= n <= most for w in ws]
+        body = re.compile(re.sub(r"[^a-z0-9]+", lambda m: f".{{0,{3 * len(m.group())}}}", raw))
+        return tuple(w for w in near if body.fullmatch(w))
+
+    def words_of(self, text: str) -> list:
+        """Normalised words of a text; case, punctuation and line marks fall away."""
+        tokens = text.lower().split()
+        odd = [i for i, t in enumerate(tokens) if not t.isascii()]
+        if not odd:
+            return _WORD.findall(" ".join(tokens))
+        out, at = [], 0
+        for i in odd:
+            if at < i:
+                out += _WORD.findall(" ".join(tokens[at:i]))
+            out += self.read(tokens[i])
+            at = i + 1
+        return out + _WORD.findall(" ".join(tokens[at:]))
+
+    def places_of(self, text: str) -> list[tuple[int, int]]:
+        """Where each of ``words_of`` stands in the text."""
+        places = []
         for m in _RAW.finditer(text):
             raw = m.group().lower()
-            if raw.isascii():
-                parts = _WORD.findall(raw)
-            else:
-                parts = _WORD.findall(_strip(raw))
-                if not (parts and all(p in self.vocabulary for p in parts)):
-                    apart = _WORD.findall(raw)
-                    if any(p in self.vocabulary for p in apart):
-                        parts = apart
-                    elif (whole := self._repair(raw)) is not None:
-                        parts = [whole]
-            for p in parts:
-                words.append(p)
-                places.append(m.span())
-        return words, places
-
-    def _repair(self, raw: str) -> str | None:
-        """The one item word that fits a damaged token, odd characters standing for up to three letters each."""
-        kept = _WORD.findall(raw)
-        if sum(map(len, kept)) < 3:
-            return None
-        if raw not in self.patterns:
-            if len(self.patterns) > 100_000:
-                self.patterns.clear()
-            body = re.sub(r"[^a-z0-9]+", lambda m: f".{{0,{3 * len(m.group())}}}", raw)
-            fit = [w for w in self.vocabulary if re.fullmatch(body, w)] if len(raw) < 40 else []
-            self.patterns[raw] = fit[0] if len(fit) == 1 else None
-        return self.patterns[raw]
-
-
-def _candidates(items: Items, words: list[str]) -> dict[int, list[tuple[int, int]]]:
+            places += [m.span()] * len(_WORD.findall(raw) if raw.isascii() else self.read(raw))
+        return places
+
+    def hits(self, words: list) -> list[tuple[int, int]]:
+        """(position, gram) of all item n-grams among the words; a damaged word stands for each word it may be."""
+        if len(words) < GRAM or not len(self.codes):
+            return []
+        get = self.ids.get
+        ids = np.array([get(w, -1) if type(w) is str else -1 for w in words], dtype=np.int64)
+        windows = [ids[k : len(ids) - GRAM + 1 + k] for k in range(GRAM)]
+        at = np.flatnonzero(np.logical_and.reduce([w >= 0 for w in windows]))
+        found = []
+        if len(at):
+            codes = self._code([w[at] for w in windows])
+            there = self.codes[np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)] == codes
+            found = list(zip(at[there].tolist(), codes[there].tolist()))
+        damaged = [i for i, w in enumerate(words) if type(w) is tuple]
+        for k in sorted({k for i in damaged for k in range(max(0, i - GRAM + 1), min(i, len(words) - GRAM) + 1)}):
+            options = [[get(x) for x in w] if type(w) is tuple else [get(w)] for w in words[k : k + GRAM]]
+            if all(None not in o for o in options):
+                found += [(k, c) for c in {self._code(g) for g in product(*options)} if c in self.grams]
+        return found
+
+
+def _candidates(items: Items, words: list) -> dict[int, list[tuple[int, int]]]:
     """item -> [(from, to)] regions of the text's words that may hold a leak."""
-    vocabulary, grams = items.vocabulary, items.grams
-    hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    run = 0
-    for k, w in enumerate(words):
-        run = run + 1 if w in vocabulary else 0
-        if run >= GRAM:
-            for item, at in grams.get(tuple(words[k - GRAM + 1 : k + 1]), ()):
-                hits[item].append((k - GRAM + 1, at))
+    found = items.hits(words)
+    if len(found) < MIN_HITS:
+        return {}
+    places: dict[int, set[int]] = defaultdict(set)
+    for k, gram in found:
+        for item, _ in items.grams[gram]:
+            places[item].add(k)
     out: dict[int, list[tuple[int, int]]] = {}
-    for item, found in hits.items():
-        if len(found) < MIN_HITS:
+    for item, held in places.items():
+        if len(held) < MIN_HITS:
             continue
         n = len(items.words[item])
         spread, regions = n + n // EDIT_IN + 1, []
-        places = sorted({p for p, _ in found})
+        order = sorted(held)
         lo = 0
-        for hi, p in enumerate(places):
-            while p - places[lo] > spread:
+        for hi, p in enumerate(order):
+            while p - order[lo] > spread:
                 lo += 1
             if hi - lo + 1 >= MIN_HITS:
-                a, b = max(0, places[lo] - spread), min(len(words), p + GRAM + spread)
+                a, b = max(0, order[lo] - spread), min(len(words), p + GRAM + spread)
                 if regions and a <= regions[-1][1]:
                     regions[-1] = (regions[-1][0], b)
                 else:
@@ -131,7 +180,7 @@ def _candidates(items: Items, words: list[str]) -> dict[int, list[tuple[int, int
     return out
 
 
-def best_span(items: Items, item: int, words: list[str]) -> tuple[int, int] | None:
+def best_span(items: Items, item: int, words: list) -> tuple[int, int] | None:
     """(from, to) in ``words`` of the first stretch of the item that leaked, at its longest.
 
     For every first word of a stretch, one edit-distance pass over all later
@@ -140,8 +189,14 @@ def best_span(items: Items, item: int, words: list[str]) -> tuple[int, int] | No
     """
     mine, weight, unit = items.words[item], items.weights[item], items.units[item]
     codes = {w: i for i, w in enumerate(dict.fromkeys(mine))}
-    text = np.array([codes.get(w, -1) for w in words])
+    text = np.array([codes.get(w, -1) if type(w) is str else -1 for w in words])
     own = np.array([codes[w] for w in mine])
+    alike = {c: text == c for c in codes.values()}
+    for j, w in enumerate(words):
+        if type(w) is tuple:  # a damaged word is every word it may be
+            for x in w:
+                if x in codes:
+                    alike[codes[x]][j] = True
     m, steps = len(text), np.arange(len(text) + 1)
     for a in range(len(mine)):
         if a and unit[a] == unit[a - 1]:
@@ -152,7 +207,7 @@ def best_span(items: Items, item: int, words: list[str]) -> tuple[int, int] | No
         begin = steps.copy()
         best = None
         for i in range(a, len(mine)):
-            same = text == own[i]
+            same = alike[own[i]]
             ends = np.where(same, cost[:-1], np.inf)  # a stretch begins and ends with words that are there
             change = np.where(same, 0.0, weight[i] if i > a else np.inf)
             drop = cost + (weight[i] if i > a else np.inf)
@@ -180,7 +235,7 @@ def best_span(items: Items, item: int, words: list[str]) -> tuple[int, int] | No
     return None
 
 
-def stretches(items: Items, item: int, words: list[str], a: int, b: int) -> Iterator[tuple[int, int]]:
+def stretches(items: Items, item: int, words: list, a: int, b: int) -> Iterator[tuple[int, int]]:
     """(from, to) of all leaked stretches of the item in a region; both sides of each are searched again.
 
     A long region is searched in windows that overlap by the longest stretch, so
@@ -203,30 +258,28 @@ def leaks_in(items: Items, text: str | None) -> list[tuple[int, int, int]]:
     """(item, from, to): leaked items of a text and the characters they take."""
     if not text:
         return []
-    words, places = items.words_of(text)
-    out = []
-    for item, regions in sorted(_candidates(items, words).items()):
+    words = items.words_of(text)
+    regions_of = _candidates(items, words)
+    if not regions_of:
+        return []
+    places, out = items.places_of(text), []
+    for item, regions in sorted(regions_of.items()):
         for a, b in regions:
             out += [(item, places[start][0], places[stop - 1][1]) for start, stop in sorted(stretches(items, item, words, a, b))]
     return out
 
 
-def _item_rows(eval_items: DataFrame) -> list[tuple[int, str]]:
-    """The items on the driver, after a check of their size (the table is fixed)."""
+def _item_parts(eval_items: DataFrame) -> list[list[tuple[int, str]]]:
+    """The items on the driver, in parts of at most MAX_ITEM_BYTES each (one, for any usual table), to be broadcast one by one."""
     held = eval_items.where("item_id is not null and text is not null")
     size = held.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    if size > MAX_ITEM_BYTES:
-        raise ValueError(f"{size} bytes of evaluation items are too many to broadcast; split the table")
-    return [(r.item_id, r.text) for r in held.select("item_id", "text").collect()]
+    n = -(-2 * size // MAX_ITEM_BYTES) if size > MAX_ITEM_BYTES else 1
+    part = F.pmod(F.xxhash64("item_id"), F.lit(n))
+    return [[(r.item_id, r.text) for r in (held.where(part == k) if n > 1 else held).select("item_id", "text").collect()] for k in range(n)]
 
 
-def leaked_spans(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
-    """doc_id, item_id, start, stop: leaked stretches by character position.
-
-    Null and empty texts leak nothing; an item without 25 words is never
-    leaked; copies of a text are reported each.
-    """
-    rows = documents.sparkSession.sparkContext.broadcast(_item_rows(eval_items))
+def _spans(documents: DataFrame, part: list[tuple[int, str]]) -> DataFrame:
+    rows = documents.sparkSession.sparkContext.broadcast(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(rows.value)
@@ -241,32 +294,60 @@ def leaked_spans(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "doc_id bigint, item_id bigint, start bigint, stop bigint")
 
 
+def leaked_spans(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
+    """doc_id, item_id, start, stop: leaked stretches by character position.
+
+    Null and empty texts leak nothing; an item without 25 words is never
+    leaked; copies of a text are reported each.  Items beyond MAX_ITEM_BYTES
+    are taken in parts, a scan of the texts for each.
+    """
+    return reduce(DataFrame.unionByName, [_spans(documents, part) for part in _item_parts(eval_items)])
+
+
 def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """doc_id, item_id, once per document and item."""
     return leaked_spans(documents, eval_items).select("doc_id", "item_id").distinct()
 
 
 def remove_leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
-    """``doc_id, text`` of the affected documents with the leaked stretches cut out."""
-    rows = documents.sparkSession.sparkContext.broadcast(_item_rows(eval_items))
+    """``doc_id, text`` of the affected documents with the leaked stretches cut out.
+
+    With items in several parts, rounds over all parts are written down until
+    one cuts nothing more.
+    """
+    parts = _item_parts(eval_items)
+    texts = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id")
+    done = texts.select("doc_id", "text", F.lit(False).alias("cut"), F.lit(False).alias("new"))
+    for part in parts:
+        done = _cut(done, part)
+    if len(parts) > 1:
+        done = settled(done, "cut")
+        while done.where("new").limit(1).count():
+            again = done.withColumn("new", F.lit(False))
+            for part in parts:
+                again = _cut(again, part)
+            done = settled(again, "cut")
+    return done.where("cut").select("doc_id", "text")
+
+
+def _cut(done: DataFrame, part: list[tuple[int, str]]) -> DataFrame:
+    """``done`` (doc_id, text, cut, new) after one more part: rows keep their place, so nothing is joined."""
+    rows = done.sparkSession.sparkContext.broadcast(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(rows.value)
         for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                spans, whole = sorted((a, b) for _, a, b in leaks_in(items, text)), text
-                while spans:  # what stood around a cut may leak once it is joined
+            texts, cut, new = (batch[c].to_pylist() for c in ("text", "cut", "new"))
+            for i, text in enumerate(texts):
+                # what stood around a cut may leak once it is joined
+                while spans := sorted((a, b) for _, a, b in leaks_in(items, text)):
                     kept, at = [], 0
                     for a, b in spans:
                         kept.append(text[at : max(at, a)])
                         at = max(at, b)
                     text = "".join(kept) + text[at:]
-                    spans = sorted((a, b) for _, a, b in leaks_in(items, text))
-                if text is not whole:
-                    out.append((doc, text))
-            if out:
-                ids, texts = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
-
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, text string")
+                    cut[i] = new[i] = True
+                texts[i] = text
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string()), pa.array(cut, pa.bool_()), pa.array(new, pa.bool_())], ["doc_id", "text", "cut", "new"])
+
+    return done.mapInArrow(run, "doc_id bigint, text string, cut boolean, new boolean")
