@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm.nearest import bookmaker_updates, game_partners, nearest_within
@@ -43,7 +44,7 @@ def test_ties_tolerance_and_nulls(spark):
         [("a", 990, (7, 0)), ("a", 1010, (1, 0)), ("a", 990, (5, 2)), ("a", 990, (5, 1)), ("a", 2011, (1, 1)), ("a", None, (0, 0)), (None, 1000, (0, 0))],
         "entity string, at_us long, ref struct<rec_id: long, pos: int>",
     )
-    got = sorted((r.name, r.ref and tuple(r.ref)) for r in nearest_within(left, right).collect())
+    got = sorted((r.name, r.ref and tuple(r.ref)) for r in nearest_within(left, right, 10).collect())
     assert got == [("m", None), ("n", None), ("x", (5, 1)), ("x", (5, 1)), ("y", None), ("z", None)]
 
 
@@ -51,7 +52,15 @@ def test_blocks_don_t_hide_neighbours(spark):
     width = 6 * 3600 * 1_000_000
     left = spark.createDataFrame([("a", width - 1, width, 0), ("a", 5 * width, width, 1)], "entity string, at_us long, tolerance_us long, k int")
     right = spark.createDataFrame([("a", width + 5, (1, 1)), ("a", 4 * width, (2, 2))], "entity string, at_us long, ref struct<rec_id: long, pos: int>")
-    assert {r.k: tuple(r.ref) for r in nearest_within(left, right).collect()} == {0: (1, 1), 1: (2, 2)}
+    assert {r.k: tuple(r.ref) for r in nearest_within(left, right, width).collect()} == {0: (1, 1), 1: (2, 2)}
+
+
+def test_a_tolerance_beyond_the_reach_raises(spark):
+    left = spark.createDataFrame([("a", 10, 99)], "entity string, at_us long, tolerance_us long")
+    right = spark.createDataFrame([("a", 12, (1, 1))], "entity string, at_us long, ref struct<rec_id: long, pos: int>")
+    assert nearest_within(left, right, 99).first().ref_us == 12
+    with pytest.raises(Exception, match="above the reach"):
+        nearest_within(left, right, 98).collect()
 
 
 def test_empty_sides(spark, data):

@@ -16,14 +16,16 @@ from tidemark.functions.timetext import read_times
 from tidemark.operators.attributes import latest_starts
 from tidemark.operators.timestamps import hourly_instants
 
-#: Width of a block.  It must be at least the greatest tolerance.
+#: Width of a block, at least.
 BLOCK_SECONDS = 6 * 3600
 
 
-def nearest_within(left: DataFrame, right: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+def nearest_within(left: DataFrame, right: DataFrame, reach_us: int, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """``left`` rows with the nearest right record.
 
-    left: entity, at_us, tolerance_us and any further columns; right: entity,
+    ``reach_us`` is the greatest tolerance: right records no farther from the
+    edge of a block stand in the neighbouring block too, and a left row that
+    asks for more raises.  left: entity, at_us, tolerance_us and any further columns; right: entity,
     at_us, ref (a struct, compared in order).  Before and after both count, the
     tolerance is inclusive.  Ties go to the earlier instant, then the smallest
     ref.  Adds ``ref`` and ``ref_us``, null when none is near enough; rows with
@@ -31,14 +33,14 @@ def nearest_within(left: DataFrame, right: DataFrame, block_seconds: int = BLOCK
     instant are combined before the shuffle.  A column of ``left`` may have any
     name but ref, ref_us, block and side.
     """
-    width = block_seconds * 1_000_000
+    width = max(block_seconds * 1_000_000, reach_us)
     block = lambda c: F.floor(c / F.lit(width)).cast("bigint")
     at = F.col("at_us")
     reduced = right.where("entity is not null and at_us is not null").groupBy("entity", "at_us").agg(F.min("ref").alias("ref"))
-    reach = F.lit(width)
-    spread = reduced.withColumn(
-        "block", F.explode(F.array_distinct(F.array(block(at - reach), block(at), block(at + reach))))
-    )  # a block each side covers every tolerance up to the width
+    reach = F.lit(reach_us)
+    spread = reduced.withColumn("block", F.explode(F.array_distinct(F.array(block(at - reach), block(at), block(at + reach)))))
+    beyond = F.raise_error(F.lit(f"a tolerance above the reach of {reach_us}"))
+    left = left.withColumn("tolerance_us", F.when(F.col("tolerance_us") > reach, beyond.cast("bigint")).otherwise(F.col("tolerance_us")))
     carried = [c for c in left.columns if c not in ("entity", "at_us")]
     asks = left.where("entity is not null and at_us is not null").select(
         "entity", "at_us", block(at).alias("block"), F.lit(1).alias("side"), F.struct(*carried).alias("row")
@@ -99,5 +101,5 @@ def game_partners(
     ).unionByName(
         ask(updates.select("game_pk", "partner").distinct().join(starts, "game_pk"), book_entity, F.col("partner"), book_minutes)
     )
-    found = nearest_within(asks, weather.unionByName(books))
+    found = nearest_within(asks, weather.unionByName(books), max(weather_minutes, book_minutes) * minute)
     return found.where("ref is not null").select("game_pk", "partner", F.col("ref.rec_id").alias("rec_id"), F.col("ref.pos").alias("pos"))
