@@ -80,7 +80,7 @@ def project(tokens: list[int]) -> np.ndarray:
     w = np.sqrt(counts)
     out = np.empty(DIMENSIONS)
     for d in range(DIMENSIONS):
-        h = (ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(d) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(d * 0xBF58476D1CE4E5B9 % 2**64)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(32)
