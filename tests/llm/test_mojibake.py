@@ -1,8 +1,11 @@
 """Problem 10 by round trips: damage known texts, find and restore them."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm.mojibake import _MAX_PIECE, LOST, damaged_documents, pieces_of, quoted_only, restored_documents
+from tidemark.llm.mojibake import _MAX_PIECE, _TOKEN, LOST, TOKEN, damaged_documents, pieces_of, quoted_only, replaced, restored_documents
 
 CLEAN = [
     "Ángelo Núñovar voló después del partido en Québrou; según el pronóstico, mañana será más fácil.",
@@ -83,3 +86,40 @@ def test_long_tokens_are_cut_at_safe_borders(spark):
     rows = [(i, odd + f" ({i})") for i in range(12)] + [(50, "x" * 2500 + LOST), (51, "x" * 2500 + "Ž")]
     got = {r.doc_id: r.text for r in restored_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {50: odd, 51: odd}
+
+
+def test_healthy_parts_stay():
+    assert replaced("x Ã©, “Ã©” and Ã©t", {"Ã©": "é"}) == "x é, “Ã©” and Ã©t"
+    assert replaced("a\xa0Ã© \xa0b", {"Ã©": "é"}) == "a\xa0é \xa0b"
+    assert replaced("plain", {"Ã©": "é"}) == "plain" and replaced("", {}) == ""
+
+
+def test_workers_see_the_same_tokens(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aZé Ã©\xa0“”\"'(7)-日", k=60)) for _ in range(300)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)).alias("k"), "t").collect()
+    assert all(r.k == [m.group() for m in _TOKEN.finditer(r.t)] for r in got)
+
+
+def test_quotation_beside_damage(spark):
+    clean = [(i, f"Perché é così, disse é ({i})") for i in range(40)]
+    odd = [(100, "PerchÃ© Ã© cosÃ¬, disse; the note quotes “Ã©” as is")]
+    got = {r.doc_id: r.text for r in restored_documents(spark.createDataFrame(clean + odd, "doc_id long, text string")).collect()}
+    assert got == {100: "Perché é così, disse; the note quotes “Ã©” as is"}
+
+
+def test_share_restored(spark):
+    """Held-out accuracy: distinct texts damaged whole, each by one of four readings."""
+    rng, readings = random.Random(5), ("cp1252", "latin-1", "mac_roman", "cp437")
+    words = sorted({w for t in CLEAN[:5] for w in t.split()})
+    texts = {1000 + i: " ".join(rng.choices(words, k=25)) for i in range(200)}
+    odd = {5000 + i: utf8_as(" ".join(rng.choices(words, k=25)), rng.choice(readings)) for i in range(60)}
+    rng = random.Random(5)
+    for _ in range(200):
+        rng.choices(words, k=25)
+    want = {}
+    for i in range(60):
+        want[5000 + i] = " ".join(rng.choices(words, k=25))
+        rng.choice(readings)
+    got = {r.doc_id: r.text for r in restored_documents(spark.createDataFrame(list({**texts, **odd}.items()), "doc_id long, text string")).collect()}
+    assert sum(got.get(k) == t for k, t in want.items()) >= 0.95 * len(want) and not set(got) & set(texts)

@@ -13,6 +13,7 @@ reading counts once per distinct text.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources import shared_dir
+from tidemark.sources import settled, shared_dir
 
 #: Wrong readings that are considered.
 READINGS = (
@@ -41,6 +42,9 @@ _MARKS = "’‘“”–—«»¿¡°"
 # a no-break space joins only where a character beyond ASCII precedes it
 TOKEN = r"""["'`(]?(?<![A-Za-z])[A-Za-z]*+[^\x00-\x7F][A-Za-z[^\x00-\x7F]]*+["'`)]?"""
 SPACING = r"(?<![^\x00-\x7F\xA0])\xA0"
+# the same two for the workers, where a class can't hold a class
+_SPACING = re.compile(SPACING)
+_TOKEN = re.compile(r"""["'`(]?(?<![A-Za-z])[A-Za-z]*+[^\x00-\x7F](?:[A-Za-z]|[^\x00-\x7F])*+["'`)]?""")
 _OPEN, _CLOSE = "\"'`(“‘«„‹‚", "\"'`)”’»“›‘"
 
 
@@ -86,15 +90,18 @@ class Characters:
         self.top = math.log(total)
         self.cost_of = {c: self.top - math.log(n + _SMOOTH) for c, n in counts.items()}
         self.unseen = self.top - math.log(_SMOOTH)
-        # only characters met more than a few times can stand for lost bytes
-        self.known = sorted(((c.encode("utf-8"), c) for c, n in counts.items() if n >= 5 and c != LOST and len(c.encode("utf-8", "ignore")) > 1))
+        self.known: dict[int, list[tuple[bytes, str]]] = {}
+        for c in sorted(counts):
+            raw = c.encode("utf-8", "ignore")
+            if c != LOST and len(raw) > 1:
+                self.known.setdefault(len(raw), []).append((raw, c))
 
     def cost(self, c: str) -> float:
         return 0.0 if c.isascii() else self.cost_of.get(c, self.unseen)
 
     def fits(self, lattice: tuple) -> list[str]:
         """Known characters whose bytes agree with the lattice (None: any byte)."""
-        return [c for raw, c in self.known if len(raw) == len(lattice) and all(x is None or x == y for x, y in zip(lattice, raw))]
+        return [c for raw, c in self.known.get(len(lattice), ()) if all(x is None or x == y for x, y in zip(lattice, raw))]
 
 
 def _length(lead: int) -> int:
@@ -144,12 +151,12 @@ def viterbi(token: str, reading: str, chars: Characters, memo: dict, step_cost:
 
 
 def restore_utf8(token: str, chars: Characters, memo: dict) -> str | None:
-    """The token as it was before UTF-8 bytes were read wrongly, once or twice; null if it wasn't."""
+    """The token as it was before UTF-8 bytes were read wrongly, once or more; null if it wasn't.  Every round shortens it."""
     now, found = token, None
-    for _ in range(3):
+    while True:
         stands = sum(chars.unseen if c == LOST else chars.cost(c) for c in now)
         best = min((viterbi(now, r, chars, memo) for r in READINGS), key=lambda x: x[0])
-        if not best[2] or stands - best[0] < LEAST_GAIN:
+        if not best[2] or stands - best[0] < LEAST_GAIN or len(best[1]) >= len(now):
             return found
         now = found = best[1]
     return found
@@ -250,8 +257,8 @@ def text_tokens(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
-    """token, n, n_texts: in how many texts each token stands, copies included and counted once."""
-    return tokens.groupBy("token").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("n_texts"))
+    """token, n, n_texts: in how many texts each token stands, copies included and counted once; written down for the steps that follow."""
+    return settled(tokens.groupBy("token").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("n_texts")), "words")
 
 
 def character_counts(words: DataFrame) -> dict[str, int]:
@@ -303,7 +310,9 @@ def proposals(words: DataFrame, counts: dict[str, int]) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return words.mapInArrow(run, "token string, n bigint, restored string, kind string")
+    # few bytes, much work: a fixed number of partitions isn't merged by the planner
+    width = max(words.sparkSession.sparkContext.defaultParallelism, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return words.repartition(width, "token").mapInArrow(run, "token string, n bigint, restored string, kind string")
 
 
 def _skeleton(column: str) -> F.Column:
@@ -372,6 +381,17 @@ def damaged_documents(documents: DataFrame) -> DataFrame:
     return rows.join(texts, "text_id", "left_semi").select("doc_id").distinct()
 
 
+def replaced(text: str, known: dict[str, str | None]) -> str:
+    """The text with its damaged tokens replaced where they stand as tokens; the same letters inside other tokens stay."""
+    out, at = [], 0
+    for m in _TOKEN.finditer(_SPACING.sub(" ", text)):
+        new = known.get(m.group())
+        if new is not None:
+            out += [text[at : m.start()], new]
+            at = m.end()
+    return "".join(out) + text[at:]
+
+
 def restored_documents(documents: DataFrame) -> DataFrame:
     """doc_id, text, n_restored, n_lost of the affected texts: every damaged token that could be restored is replaced."""
     _, tokens = text_tokens(documents)
@@ -386,10 +406,7 @@ def restored_documents(documents: DataFrame) -> DataFrame:
             texts, good, bad = [], [], []
             for text, fix in zip(pdf["text"], pdf["fixes"]):
                 known = {f["token"]: f["restored"] for f in fix}
-                for token in sorted(known, key=len, reverse=True):
-                    if known[token] is not None:
-                        text = text.replace(token, known[token])
-                texts.append(text)
+                texts.append(replaced(text, known))
                 good.append(sum(v is not None and LOST not in v for v in known.values()))
                 bad.append(sum(v is None or LOST in v for v in known.values()))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts, "n_restored": good, "n_lost": bad})
