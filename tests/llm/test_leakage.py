@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tidemark.llm import leakage
-from tidemark.llm.leakage import EDIT_IN, MIN_WORDS, Items, leaked_items, leaks_in, remove_leaks
+from tidemark.llm.leakage import EDIT_IN, MIN_WORDS, Items, leaked_items, items_in, leaks_in, remove_leaks
 from tidemark.sources import load
 
 WORDS = [f"w{i}x{i * 7 % 13}" for i in range(400)]
@@ -42,7 +42,7 @@ def edited(rng, words, share):
     return out
 
 
-@pytest.mark.parametrize("seed", range(40))
+@pytest.mark.parametrize("seed", range(300))
 def test_random_edits(seed):
     rng = random.Random(seed)
     item = rng.sample(WORDS, 60)
@@ -51,7 +51,7 @@ def test_random_edits(seed):
     inside = edited(rng, item[at : at + n], rng.choice([0, 0.08, 0.16, 0.2, 0.3]))
     text = [rng.choice(NOISE) for _ in range(30)] + inside + [rng.choice(NOISE) for _ in range(30)]
     got = leaks_in(Items([(1, " ".join(item))]), " ".join(text))
-    assert bool(got) == brute(item, text)
+    assert bool(got) == brute(item, text) == bool(items_in(Items([(1, " ".join(item))]), " ".join(text)))
 
 
 PASSAGE = "The quick brown fox jumps over one lazy dog while seven silent owls watch from a twisted oak and count every falling leaf before the cold dawn breaks over distant hills"

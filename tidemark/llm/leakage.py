@@ -45,6 +45,7 @@ class Items:
         self.words: dict[int, list[str]] = {}
         self.weights: dict[int, np.ndarray] = {}
         self.units: dict[int, np.ndarray] = {}
+        self.least: dict[int, list[float]] = {}  # the least cost of an edit within each n-gram
         grams: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
         for item, text in rows:
             words, weights, units = [], [], []
@@ -56,6 +57,7 @@ class Items:
             if len(set(units)) < MIN_WORDS:
                 continue
             self.words[item], self.weights[item], self.units[item] = words, np.array(weights), np.array(units)
+            self.least[item] = [min(weights[k : k + GRAM]) for k in range(len(words) - GRAM + 1)]
             for k in range(len(words) - GRAM + 1):
                 grams[tuple(words[k : k + GRAM])].append((item, k))
         self.ids = {w: i for i, w in enumerate(dict.fromkeys(w for ws in self.words.values() for w in ws))}
@@ -149,16 +151,16 @@ class Items:
         return found
 
 
-def _candidates(items: Items, words: list) -> dict[int, list[tuple[int, int]]]:
-    """item -> [(from, to)] regions of the text's words that may hold a leak."""
+def _candidates(items: Items, words: list) -> dict[int, list[tuple[int, int, set[int]]]]:
+    """item -> [(from, to, n-grams of the item met there)] regions of the text's words that may hold a leak."""
     found = items.hits(words)
     if len(found) < MIN_HITS:
         return {}
-    places: dict[int, set[int]] = defaultdict(set)
+    places: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     for k, gram in found:
-        for item, _ in items.grams[gram]:
-            places[item].add(k)
-    out: dict[int, list[tuple[int, int]]] = {}
+        for item, at in items.grams[gram]:
+            places[item][k].append(at)
+    out: dict[int, list[tuple[int, int, set[int]]]] = {}
     for item, held in places.items():
         if len(held) < MIN_HITS:
             continue
@@ -176,16 +178,47 @@ def _candidates(items: Items, words: list) -> dict[int, list[tuple[int, int]]]:
                 else:
                     regions.append((a, b))
         if regions:
-            out[item] = regions
+            out[item] = [(a, b, {at for k in order if a <= k < b for at in held[k]}) for a, b in regions]
     return out
 
 
-def best_span(items: Items, item: int, words: list) -> tuple[int, int] | None:
-    """(from, to) in ``words`` of the first stretch of the item that leaked, at its longest.
+def _heads(items: Items, item: int, met: set[int]) -> Iterator[tuple[int, int]]:
+    """(first word, last word worth looking at) of the item's stretches that the n-grams met don't rule out.
 
-    For every first word of a stretch, one edit-distance pass over all later
-    last words; insertions cost one word, a changed or dropped item word its
-    share of the (hyphened) word it belongs to.
+    Every n-gram of a stretch that isn't met holds an edit; n-grams that share
+    no word can't share one.
+    """
+    unit, least = items.units[item].tolist(), items.least[item]
+    n, end = len(unit), unit[-1]
+    for a in range(n):
+        if a and unit[a] == unit[a - 1]:
+            continue  # stretches begin with whole words
+        room = end - unit[a] + 1
+        if room < MIN_WORDS:
+            break
+        cost, until, k = 0.0, -1, a
+        while k <= n - GRAM:
+            if k in met:
+                k += 1
+            else:
+                cost += least[k]
+                k += GRAM
+                if cost * EDIT_IN > room + 1e-9:
+                    break
+            last = min(n, k + GRAM - 1) - 1  # the last word before the next n-gram is whole
+            length = unit[last] - unit[a] + 1
+            if length >= MIN_WORDS and cost * EDIT_IN <= length + 1e-9:
+                until = last
+        if until >= 0:
+            yield a, until
+
+
+def best_span(items: Items, item: int, words: list, met: set[int] | None = None, longest: bool = True) -> tuple[int, int] | None:
+    """(from, to) in ``words`` of the first stretch of the item that leaked, at its longest (or the first length that is a leak).
+
+    For every first word of a stretch that the n-grams ``met`` allow, one
+    edit-distance pass over all later last words; insertions cost one word, a
+    changed or dropped item word its share of the (hyphened) word it belongs to.
     """
     mine, weight, unit = items.words[item], items.weights[item], items.units[item]
     codes = {w: i for i, w in enumerate(dict.fromkeys(mine))}
@@ -198,15 +231,13 @@ def best_span(items: Items, item: int, words: list) -> tuple[int, int] | None:
                 if x in codes:
                     alike[codes[x]][j] = True
     m, steps = len(text), np.arange(len(text) + 1)
-    for a in range(len(mine)):
-        if a and unit[a] == unit[a - 1]:
-            continue  # stretches begin with whole words
-        if unit[-1] - unit[a] + 1 < MIN_WORDS:
-            break
+    met = set(range(len(mine))) if met is None else met
+    heads = _heads(items, item, met)
+    for a, until in heads if longest else sorted(heads, key=lambda h: (h[0] not in met, h[0])):  # likely ones first
         cost = np.zeros(m + 1)
         begin = steps.copy()
         best = None
-        for i in range(a, len(mine)):
+        for i in range(a, until + 1):
             same = alike[own[i]]
             ends = np.where(same, cost[:-1], np.inf)  # a stretch begins and ends with words that are there
             change = np.where(same, 0.0, weight[i] if i > a else np.inf)
@@ -230,12 +261,14 @@ def best_span(items: Items, item: int, words: list) -> tuple[int, int] | None:
                 j = int(ends.argmin())
                 if ends[j] * EDIT_IN <= length + 1e-9:
                     best = (int(before[j]), j + 1)
+                    if not longest:
+                        return best
         if best:
             return best
     return None
 
 
-def stretches(items: Items, item: int, words: list, a: int, b: int) -> Iterator[tuple[int, int]]:
+def stretches(items: Items, item: int, words: list, a: int, b: int, met: set[int]) -> Iterator[tuple[int, int]]:
     """(from, to) of all leaked stretches of the item in a region; both sides of each are searched again.
 
     A long region is searched in windows that overlap by the longest stretch, so
@@ -243,15 +276,15 @@ def stretches(items: Items, item: int, words: list, a: int, b: int) -> Iterator[
     """
     n = len(items.words[item])
     step = 3 * (n + n // EDIT_IN + 1)
-    todo = [(x, min(b, x + step * 4 // 3)) for x in range(a, max(a + 1, b - step // 3), step)]
+    todo = [(x, min(b, x + step * 4 // 3), met) for x in range(a, max(a + 1, b - step // 3), step)]
     while todo:
-        x, y = todo.pop()
-        span = best_span(items, item, words[x:y])
+        x, y, met = todo.pop()
+        span = best_span(items, item, words[x:y], met)
         if span:
             start, stop = x + span[0], x + span[1]
             yield start, stop
             for p, q in ((x, start), (stop, y)):
-                todo += [(p + c, p + d) for c, d in _candidates(items, words[p:q]).get(item, ())]
+                todo += [(p + c, p + d, m) for c, d, m in _candidates(items, words[p:q]).get(item, ())]
 
 
 def leaks_in(items: Items, text: str | None) -> list[tuple[int, int, int]]:
@@ -264,11 +297,21 @@ def leaks_in(items: Items, text: str | None) -> list[tuple[int, int, int]]:
         return []
     places, out = items.places_of(text), []
     for item, regions in sorted(regions_of.items()):
-        for a, b in regions:
-            out += [(item, places[start][0], places[stop - 1][1]) for start, stop in sorted(stretches(items, item, words, a, b))]
+        for a, b, met in regions:
+            out += [(item, places[start][0], places[stop - 1][1]) for start, stop in sorted(stretches(items, item, words, a, b, met))]
     return out
 
 
+def items_in(items: Items, text: str | None) -> list[int]:
+    """The leaked items of a text, where their spans aren't asked for."""
+    words = items.words_of(text) if text else []
+    found = []
+    for item, regions in sorted(_candidates(items, words).items()):
+        if any(best_span(items, item, words[a:b], met, longest=False) for a, b, met in regions):
+            found.append(item)
+    return found
+
+
 def _item_parts(eval_items: DataFrame) -> list[list[tuple[int, str]]]:
     """The items on the driver, in parts of at most MAX_ITEM_BYTES each (one, for any usual table), to be broadcast one by one."""
     held = eval_items.where("item_id is not null and text is not null")
@@ -305,8 +348,22 @@ def leaked_spans(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
 
 
 def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
-    """doc_id, item_id, once per document and item."""
-    return leaked_spans(documents, eval_items).select("doc_id", "item_id").distinct()
+    """doc_id, item_id, once per document and item; cases as in ``leaked_spans``."""
+    slim = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id")
+
+    def scan(part: list[tuple[int, str]]) -> DataFrame:
+        rows = documents.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = Items(rows.value)
+            for batch in batches:
+                found = [(doc, item) for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()) for item in items_in(items, text)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["doc_id", "item_id"])
+
+        return slim.mapInArrow(run, "doc_id bigint, item_id bigint")
+
+    return reduce(DataFrame.unionByName, [scan(part) for part in _item_parts(eval_items)]).distinct()
 
 
 def remove_leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
