@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -62,26 +62,28 @@ _CLASSES = {**{c: "9" for c in "0123456789"}, **{chr(c): "a" for c in range(97,
 _TABLE = {ord(k): v for k, v in _CLASSES.items()} | {c: "w" for c in range(192, 592)}
 
 
-@lru_cache(maxsize=1 << 14)
-def _text_shape(s: str) -> str:
+def _shape_of(s: str) -> str:
     marks = set(s.translate(_TABLE))
     return "s" + "".join(sorted(m for m in marks if m in "9aAw -:./?_[{(,")) + str(len(s).bit_length())
 
 
-def value_shape(v, depth: int = 0) -> str:
-    """A coarse look of a value: bounded in number, stable under new data of the same kind."""
+_short_shape = lru_cache(maxsize=1 << 14)(_shape_of)
+
+
+def value_shapes(v) -> Iterable[str]:
+    """Coarse looks of a value, of a list one for each kind of element at any depth: bounded in number, stable under new data of the same kind."""
     if v is None:
-        return ""
+        return ("",)
     if isinstance(v, bool):
-        return "b"
+        return ("b",)
     if isinstance(v, str):
-        return _text_shape(v if len(v) < 200 else v[:99] + v[-99:])
+        return (_short_shape(v) if len(v) < 200 else _shape_of(v),)  # only short texts are remembered
     if isinstance(v, (int, float)):
         whole, _, part = repr(abs(v)).partition(".")
-        return f"n{'-' if v < 0 else ''}{min(len(whole), 12)}.{min(len(part.rstrip('0')), 6) and 1}"
+        return (f"n{'-' if v < 0 else ''}{min(len(whole), 12)}.{min(len(part.rstrip('0')), 6) and 1}",)
     if isinstance(v, list):
-        return "l" + (value_shape(v[0], depth + 1) if v and depth < 3 else "")
-    return "o"
+        return {"l" + s for x in v for s in value_shapes(x)} or ("l",)
+    return ("o",)
 
 
 def _scan(declared: dict[str, dict[str, str]]):
@@ -112,7 +114,8 @@ def _scan(declared: dict[str, dict[str, str]]):
                     for k, v in obj.items():
                         path, kind = prefix + k, json_type(v)
                         header.append((path, kind))
-                        profile[endpoint, path, value_shape(v)] += 1
+                        for shape in value_shapes(v):
+                            profile[endpoint, path, shape] += 1
                         if kind == "object" and known.get(path) == "object":
                             todo.append((path + ".", v))
                 header = tuple(sorted(header))

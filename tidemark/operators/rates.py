@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bounds of the prior strength.
@@ -59,7 +59,7 @@ def pooled_rates(df: DataFrame, levels: Sequence[str], successes: Column, trials
         here = at(d)
         if parent is None:
             root = level.select(F.col("rate").alias("_parent"), F.lit(1).alias("_one"))
-            here = here.withColumn("_one", F.lit(1)).join(root, "_one")  # one root row
+            here = here.withColumn("_one", F.lit(1)).join(F.broadcast(root), "_one")  # one root row
         else:
             here = here.join(parent, list(levels[: d - 1]))
         level = here.select(
@@ -99,7 +99,7 @@ def weighted_least_squares(df: DataFrame, y: str, x1: str, x2: str, weight: str,
     group = list(by) or ["_all"]
     d = d if by else d.withColumn("_all", F.lit(1))
     mean = d.groupBy(*group).agg(*[(F.sum(F.col("_w") * F.col(c)) / F.sum("_w")).alias(f"m{c}") for c in ("_y", "_1", "_2")], F.count(F.lit(1)).alias("n"))
-    c = d.join(mean, group)
+    c = d.join(mean if by else F.broadcast(mean), group)  # one row without groups
     dev = {k: F.col(k) - F.col(f"m{k}") for k in ("_y", "_1", "_2")}
     moment = lambda a, b: F.sum(F.col("_w") * dev[a] * dev[b])
     m = c.groupBy(*group, "n", "m_y", "m_1", "m_2").agg(
@@ -132,15 +132,25 @@ def cell_rates(df: DataFrame, cell: Sequence[str], subject: str, hit: Column, mi
     return over.where(F.col("n") >= min_subject).withColumn("shrunk", F.col("excess") * F.col("n") / (F.col("n") + k))
 
 
-def nearest_index_percentile(df: DataFrame, group: Sequence[str], value: str, q: float) -> DataFrame:
+def nearest_index_percentile(df: DataFrame, group: Sequence[str], value: str, q: float, bins: int = 1000) -> DataFrame:
     """The value at index min(floor(q n), n - 1) of each sorted group, without gathering a group.
 
-    Values are counted first, so ties cost one row; the running count finds the index.
+    Values are counted first, so ties cost one row, and laid into ``bins``
+    between the group's least and greatest; only the values of the bin that
+    holds the index are sorted.
     """
-    from pyspark.sql import Window
-
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-    run = Window.partitionBy(*group).orderBy(value)
-    placed = counts.withColumns({"_upto": F.sum("_c").over(run), "_n": F.sum("_c").over(Window.partitionBy(*group))})
+    keys = [f"_g{i}" for i in range(len(group))]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys)], F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ends = counts.groupBy(*keys).agg(F.min("_v").cast("double").alias("_lo"), F.max("_v").cast("double").alias("_hi"), F.sum("_c").alias("_n"))
+    binned = counts.alias("c").join(ends.alias("e"), [F.col(f"c.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys])
+    share = F.try_divide(F.col("_v").cast("double") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    at = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
+    binned = binned.select(*[F.col(f"c.{k}") for k in keys], "_v", "_c", "_n", at.alias("_bin"))
+    run = Window.partitionBy(*keys).orderBy("_bin")
+    sums = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_all"), F.max("_n").alias("_n")).withColumn("_upto", F.sum("_all").over(run))
     index = F.least(F.floor(F.lit(q) * F.col("_n")), F.col("_n") - 1)
-    return placed.where((F.col("_upto") > index) & (F.col("_upto") - F.col("_c") <= index)).select(*group, F.col(value).alias("percentile"))
+    hit = sums.where((F.col("_upto") > index) & (F.col("_upto") - F.col("_all") <= index)).select(*[F.col(k).alias(f"h{k}") for k in keys], F.col("_bin").alias("h_bin"), (F.col("_upto") - F.col("_all")).alias("_base"))
+    near = binned.join(hit, [F.col("_bin") == F.col("h_bin"), *[F.col(k).eqNullSafe(F.col(f"h{k}")) for k in keys]])
+    placed = near.withColumn("_upto", F.col("_base") + F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v")))
+    found = placed.where((F.col("_upto") > index) & (F.col("_upto") - F.col("_c") <= index))
+    return found.select(*[F.col(k).alias(g) for g, k in zip(group, keys)], F.col("_v").alias("percentile"))

@@ -72,51 +72,102 @@ def expanding_snapshots(df: DataFrame, date: Column, start: str, stop: str, step
     return totals.select(*group, F.explode(F.sequence("_mark", "_until", step)).alias("snapshot"), "n", "total")
 
 
+#: Width of the time blocks an entity is cut into, so that one that holds a third of all rows is spread over its blocks.
+BLOCK_SECONDS = 86_400
+
+
+def micros(c: Column | str) -> Column:
+    return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
+
+
+def _block(us: Column, seconds: int) -> Column:
+    return F.floor(us / F.lit(seconds * 1_000_000)).cast("bigint")
+
+
 def asof_join(
     left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, values: Sequence[str],
-    direction: str = "backward", tolerance_us: int | None = None, ties: Sequence[Column] = (), suffix: str = "_r",
+    direction: str = "backward", tolerance_us: int | None = None, ties: Sequence[Column] = (), suffix: str = "_r", block_seconds: int = BLOCK_SECONDS,
 ) -> DataFrame:
     """Each left row with the last right row at or before it (or the first at or after it).
 
-    Union and a running ``last``: linear after one sort, equal times match, and
-    among right rows of equal time the last in ``ties`` order wins.  Beyond the
-    tolerance (inclusive) and without a match the values are null.
+    Union and a running ``last`` within blocks of time: linear after one sort,
+    equal times match, and among right rows of equal time the last in ``ties``
+    order wins.  What a block doesn't know, the last right row before it, comes
+    from a row per entity and block.  Beyond the tolerance (inclusive), without
+    a match, and for rows with a null entity or time the values are null.
     """
-    forward = direction == "forward"
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    sign = -1 if direction == "forward" else 1  # the first after is the last before, in time that runs backwards
+    at = lambda c: micros(c) * sign
     carried = F.struct(micros(right_at).alias("us"), F.col(right_at).alias(right_at), *[F.col(v) for v in values if v != right_at])
-    r = right.select(*by, micros(right_at).alias("_us"), F.lit(1 if forward else 0).alias("_side"), F.struct(*(ties or [F.lit(0)])).alias("_tie"), carried.alias("_hit"))
+    tie = F.struct(*(ties or [F.lit(0)]))
+    r = right.where(F.col(right_at).isNotNull()).select(*by, at(right_at).alias("_t"), F.lit(0).alias("_side"), tie.alias("_tie"), carried.alias("_hit"))
     row = F.struct(*[F.col(c) for c in left.columns if c not in by])
-    l = left.select(*by, micros(left_at).alias("_us"), F.lit(0 if forward else 1).alias("_side"), row.alias("_row"))
-    both = r.unionByName(l, allowMissingColumns=True)
-    up = Window.partitionBy(*by)
-    if forward:
-        span = up.orderBy(F.desc("_us"), F.desc("_side"), "_tie")
-    else:
-        span = up.orderBy("_us", "_side", "_tie")
+    l = left.select(*by, at(left_at).alias("_t"), F.lit(1).alias("_side"), row.alias("_row"))
+    both = r.unionByName(l, allowMissingColumns=True).withColumn("_b", _block(F.col("_t"), block_seconds))
+    # one row per entity and block: its last right row, and from it the last one of all blocks before
+    ends = both.groupBy(*by, "_b").agg(F.max_by("_hit", F.when(F.col("_side") == 0, F.struct("_t", "_tie"))).alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    heads = ends.withColumn("_hit", before).where("_hit is not null and _b is not null")
+    heads = heads.select(*by, "_b", F.lit(-1).alias("_side"), "_hit")
+    span = Window.partitionBy(*by, "_b").orderBy("_side_first", "_t", "_side", "_tie")
+    known = both.unionByName(heads, allowMissingColumns=True).withColumn("_side_first", F.when(F.col("_side") == -1, 0).otherwise(1))
     hit = F.last("_hit", ignorenulls=True).over(span.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = both.withColumn("_hit", hit).where("_row is not null")
-    near = F.lit(True) if tolerance_us is None else F.abs(F.col("_us") - F.col("_hit.us")) <= tolerance_us
+    found = known.withColumn("_hit", hit).where("_side = 1")
+    near = F.col("_t").isNotNull()
+    for c in by:
+        near = near & F.col(c).isNotNull()
+    if tolerance_us is not None:
+        near = near & (F.abs(F.col("_t") * sign - F.col("_hit.us")) <= tolerance_us)
     names = [right_at, *[v for v in values if v != right_at]]
     return found.select(*by, "_row.*", *[F.when(near, F.col(f"_hit.{n}")).alias(n + suffix) for n in names])
 
 
-def episodes(df: DataFrame, key: Sequence[str], at: str, gap_seconds: int) -> DataFrame:
-    """Rows with the number of the run they belong to; a pause longer than ``gap_seconds`` starts a new run."""
-    span = Window.partitionBy(*key).orderBy(at)
-    pause = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(span).cast("timestamp"))
-    starts = F.when(pause <= gap_seconds * 1_000_000, 0).otherwise(1)
-    return df.withColumn("_starts", starts).withColumn("episode", F.sum("_starts").over(span)).drop("_starts")
-
+def episodes(df: DataFrame, key: Sequence[str], at: str, gap_seconds: int, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """Rows with the number of the run they belong to; a pause longer than ``gap_seconds`` starts a new run.
 
-def identical_runs(df: DataFrame, key: Sequence[str], order: Sequence[Column], digest: str) -> DataFrame:
-    """Rows with ``run``: how many rows in a row before and including it have the same digest."""
-    span = Window.partitionBy(*key).orderBy(*order)
-    before = F.lag(F.struct(digest)).over(span)  # null only at the first row
-    change = F.when(before.isNotNull() & F.col(digest).eqNullSafe(before[digest]), 0).otherwise(1)
-    island = df.withColumn("_change", change).withColumn("_island", F.sum("_change").over(span))
-    counted = F.row_number().over(Window.partitionBy(*key, "_island").orderBy(*order))
-    return island.withColumn("run", counted).drop("_change", "_island")
+    Runs are counted within blocks of time; a row per entity and block carries
+    the last time and the number of runs of the blocks before it.
+    """
+    keyed = df.withColumn("_us", micros(at)).withColumn("_b", _block(F.col("_us"), block_seconds))
+    span, blocks = Window.partitionBy(*key, "_b").orderBy("_us"), Window.partitionBy(*key).orderBy("_b")
+    inner = keyed.withColumn("_ago", F.col("_us") - F.lag("_us").over(span))
+    long = F.col("_ago") > gap_seconds * 1_000_000
+    ends = inner.groupBy(*key, "_b").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.count_if(long).alias("_n"))
+    ago = F.col("_first") - F.lag("_last").over(blocks)
+    opens = F.when(ago <= gap_seconds * 1_000_000, 0).otherwise(1)
+    heads = ends.withColumn("_open", opens).withColumn("_base", F.sum(F.col("_open") + F.col("_n")).over(blocks) - F.col("_n"))
+    names = [*key, "_b"]
+    joined = inner.join(heads.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(names)], "_base"), [F.col(c).eqNullSafe(F.col(f"_h{i}")) for i, c in enumerate(names)])
+    number = F.col("_base") + F.coalesce(F.sum(F.when(long, 1).otherwise(0)).over(span), F.lit(0))
+    return joined.withColumn("episode", number).select(*df.columns, "episode")
+
+
+def identical_runs(df: DataFrame, key: Sequence[str], at: str, ties: Sequence[str], digest: str, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """Rows with ``run``: how many rows in a row before and including it, by ``at`` and ``ties``, have the same digest.
+
+    Runs are counted within blocks of time; a row per entity and block carries
+    the run that the blocks before it end with.
+    """
+    keyed = df.withColumn("_b", _block(micros(at), block_seconds))
+    order = [F.col(at), *[F.col(c) for c in ties]]
+    span = Window.partitionBy(*key, "_b").orderBy(*order)
+    was = F.lag(F.struct(F.col(digest).alias("d"))).over(span)  # null only at the first row
+    change = F.when(was.isNull(), 0).when(F.col(digest).eqNullSafe(was["d"]), 0).otherwise(1)
+    inner = keyed.withColumn("_change", change).withColumn("_isle", F.sum("_change").over(span))
+    inner = inner.withColumn("_run", F.row_number().over(Window.partitionBy(*key, "_b", "_isle").orderBy(*order)))
+    place, body = F.struct(*order), F.struct(F.col(digest).alias("d"))
+    ends = inner.groupBy(*key, "_b").agg(
+        F.min_by(body, place).alias("_first"), F.max_by(body, place).alias("_last"), F.max_by("_run", place).alias("_tail"), F.max("_isle").alias("_isles")
+    )
+    blocks = Window.partitionBy(*key).orderBy("_b")
+    goes_on = F.coalesce(F.col("_first")["d"].eqNullSafe(F.lag("_last").over(blocks)["d"]) & F.lag("_last").over(blocks).isNotNull(), F.lit(False))
+    chains = ends.withColumn("_on", goes_on).withColumn("_chain", F.sum(F.when(F.col("_on") & (F.col("_isles") == 0), 0).otherwise(1)).over(blocks))
+    total = F.sum("_tail").over(Window.partitionBy(*key, "_chain").orderBy("_b"))
+    carried = chains.withColumn("_total", total).withColumn("_carry", F.when(F.col("_on"), F.lag("_total").over(blocks)).otherwise(0))
+    names = [*key, "_b"]
+    heads = carried.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(names)], "_carry")
+    joined = inner.join(heads, [F.col(c).eqNullSafe(F.col(f"_h{i}")) for i, c in enumerate(names)])
+    return joined.withColumn("run", (F.col("_run") + F.when(F.col("_isle") == 0, F.col("_carry")).otherwise(0)).cast("int")).select(*df.columns, "run")
 
 
 def nearest_or_refuse(pairs: DataFrame, key: Sequence[str], distance: str, start: str, tie: str, apart_seconds: int) -> DataFrame:
@@ -136,11 +187,26 @@ def unique_or_null(pairs: DataFrame, key: Sequence[str], value: str) -> DataFram
     return pairs.groupBy(*key).agg(F.when(F.count(F.lit(1)) == 1, F.min(value)).alias(value), F.count(F.lit(1)).alias("candidates"))
 
 
+def running_count(points: DataFrame, at: str, on: Sequence[str], block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """on, at, upto: how many points of the entity lie at or before each time that has one.  Null entities and times are left out."""
+    known = points.dropna(subset=[*on, at]).groupBy(*on, at).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", _block(micros(at), block_seconds))
+    sums = known.groupBy(*on, "_b").agg(F.sum("_n").alias("_all"))
+    base = sums.withColumn("_base", F.sum("_all").over(Window.partitionBy(*on).orderBy("_b")) - F.col("_all")).drop("_all")
+    inner = F.sum("_n").over(Window.partitionBy(*on, "_b").orderBy(at))
+    return known.withColumn("_in", inner).join(base, [*on, "_b"]).select(*on, at, (F.col("_base") + F.col("_in")).alias("upto"))
+
+
 def interval_overlap_count(points: DataFrame, at: str, spans: DataFrame, start: str, stop: str, on: Sequence[str]) -> DataFrame:
-    """``n`` of points with start < at <= stop per span: an equi-join on the entity, then the range."""
-    hits = spans.join(points.select(*on, at), list(on), "left")
-    inside = (F.col(at) > F.col(start)) & (F.col(at) <= F.col(stop))
-    return hits.groupBy(*spans.columns).agg(F.count_if(inside).alias("n"))
+    """``n`` of points with start < at <= stop per span: the points up to its stop less those up to its start.
+
+    Two as-of joins with the running count, so no pair of point and span is made.
+    """
+    upto = running_count(points, at, on)
+    ends = asof_join(spans, upto, on, stop, at, ["upto"], suffix="_stop")
+    both = asof_join(ends, upto, on, start, at, ["upto"], suffix="_start")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    n = F.when(F.col(start).isNull() | F.col(stop).isNull(), 0).otherwise(F.greatest(count("upto_stop") - count("upto_start"), F.lit(0)))
+    return both.select(*spans.columns, n.alias("n"))
 
 
 def greedy_assignment(pairs: DataFrame, group: Sequence[str], left: str, right: str, distance: str) -> DataFrame:

@@ -343,7 +343,7 @@ g AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FR
 r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id, i ORDER BY ts, event_id) AS run FROM g)
 SELECT user_id, max(run) AS longest, count(*) FILTER (run >= 2) AS alerts FROM r GROUP BY user_id""")
 def frozen_runs(spark, base):
-    got = temporal.identical_runs(load(spark, base, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], "event_type")
+    got = temporal.identical_runs(load(spark, base, "events"), ["user_id"], "ts", ["event_id"], "event_type")
     return got.groupBy("user_id").agg(F.max("run").cast("bigint").alias("longest"), F.count_if(F.col("run") >= 2).alias("alerts"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -37,23 +38,21 @@ def load(spark: SparkSession, base: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, local runs) a local folder is made and
-    set, so a cluster's own choice always wins.
+    Only a local session without the setting (tests, local runs) gets a folder
+    of its own, which goes when the process ends; anywhere else a missing
+    setting raises, since a folder of one machine isn't shared.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(shared_dir, "_local", None)
         if base is None:
             base = shared_dir._local = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def small_enough(df: DataFrame, limit_bytes: int) -> bool:
-    """Whether the optimizer's own size estimate of ``df`` is within the limit."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString()) <= limit_bytes
-
-
 def settled(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, whatever is lost later."""
     path = shared_dir(df.sparkSession, label)
