@@ -126,3 +126,21 @@ def wind_components(speed: Column, from_deg: Column, bearing: Column) -> tuple[C
     """(outward, across) parts of a wind against the bearing to centre field."""
     angle = F.radians(from_deg - F.pmod(bearing + 180, F.lit(360)))
     return speed * F.cos(angle), speed * F.sin(angle)
+
+
+def prob_to_decimal(p: Column) -> Column:
+    """Null at or below 0."""
+    return F.when(p > 0, F.try_divide(F.lit(1.0), p))
+
+
+def cents_to_prob(cents: Column) -> Column:
+    return cents / 100.0
+
+
+def consensus(prices, by, book: str, fair: str, weights: dict[str, float]):
+    """by, fair, books: the weighted mean of fair prices; books beyond ``weights`` weigh 1, null prices nothing."""
+    table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
+    w = F.coalesce(F.try_element_at(table, F.col(book)), F.lit(1.0))
+    rows = prices.where(F.col(fair).isNotNull()).withColumn("_w", w)
+    mean = F.try_divide(F.sum(F.col("_w") * F.col(fair)), F.sum("_w"))
+    return rows.groupBy(*by).agg(F.round(mean, 6).alias("fair"), F.count_if(F.col("_w") > 0).alias("books"))

@@ -73,3 +73,17 @@ def orphans(child: DataFrame, parent: DataFrame, key: Sequence[str]) -> DataFram
 def revisions(df: DataFrame, key: Sequence[str], version: str) -> DataFrame:
     """Keys with more than one distinct version, exactly counted."""
     return df.groupBy(*key).agg(F.count_distinct(version).alias("versions")).where("versions > 1")
+
+
+def ratio(name: str, df: DataFrame, holds: Column, least: float) -> DataFrame:
+    """name, ratio, passed: the share of rows for which ``holds``; an empty table passes with a null ratio."""
+    share = df.agg(F.avg(F.coalesce(holds, F.lit(False)).cast("int")).alias("r"))
+    return share.select(F.lit(name).alias("name"), F.round("r", 6).alias("ratio"), F.coalesce(F.col("r") >= least, F.lit(True)).alias("passed"))
+
+
+def classes(df: DataFrame, value: str, table: Mapping[str, str], otherwise: str = "unknown") -> DataFrame:
+    """class, n, share: rows per class of a value; values outside the table are counted, never guessed."""
+    names = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    per = df.groupBy(F.coalesce(F.try_element_at(names, F.col(value)), F.lit(otherwise)).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    whole = per.agg(F.sum("n").alias("_all")).withColumn("_one", F.lit(1))  # one row
+    return per.withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one").select("class", "n", F.round(F.col("n") / F.col("_all"), 6).alias("share"))

@@ -45,9 +45,12 @@ def before_event(df: DataFrame, key: Sequence[str], known_at: str, events: DataF
     return latest(joined, key, [F.col(known_at).desc(), *ties])
 
 
-def expanding_aggregate(df: DataFrame, date: str, through: Column, group: Sequence[str], **values: Column) -> DataFrame:
-    """Aggregates per group over everything strictly before ``through``."""
-    return df.where(F.col(date) < through).groupBy(*group).agg(*[v.alias(k) for k, v in values.items()])
+def expanding_aggregate(df: DataFrame, date: str, through: Column, group: Sequence[str], seasons: Sequence[int] | None = None, **values: Column) -> DataFrame:
+    """Aggregates per group over everything strictly before ``through``, in the given years if there are any (an empty list selects none)."""
+    known = df.where(F.col(date) < through)
+    if seasons is not None:
+        known = known.where(F.year(date).isin(list(seasons)))
+    return known.groupBy(*group).agg(*[v.alias(k) for k, v in values.items()])
 
 
 def expanding_snapshots(df: DataFrame, date: Column, start: str, stop: str, step_days: int, group: Sequence[str], value: Column) -> DataFrame:
@@ -190,8 +193,8 @@ def unique_or_null(pairs: DataFrame, key: Sequence[str], value: str) -> DataFram
 def running_count(points: DataFrame, at: str, on: Sequence[str], block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """on, at, upto: how many points of the entity lie at or before each time that has one.  Null entities and times are left out."""
     known = points.dropna(subset=[*on, at]).groupBy(*on, at).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", _block(micros(at), block_seconds))
-    sums = known.groupBy(*on, "_b").agg(F.sum("_n").alias("_all"))
-    base = sums.withColumn("_base", F.sum("_all").over(Window.partitionBy(*on).orderBy("_b")) - F.col("_all")).drop("_all")
+    sums = known.groupBy(*on, "_b").agg(F.sum("_n").alias("_cnt"))
+    base = sums.withColumn("_base", F.sum("_cnt").over(Window.partitionBy(*on).orderBy("_b")) - F.col("_cnt")).drop("_cnt")
     inner = F.sum("_n").over(Window.partitionBy(*on, "_b").orderBy(at))
     return known.withColumn("_in", inner).join(base, [*on, "_b"]).select(*on, at, (F.col("_base") + F.col("_in")).alias("upto"))
 
