@@ -34,13 +34,18 @@ def valid_market(q: Column) -> Column:
     return (F.size(q) >= 2) & F.forall(q, lambda x: x.isNotNull() & (x > 0)) & (total(q) > 1)
 
 
+def _with_total(q: Column, use) -> Column:
+    """``use(total)`` with the sum computed once per market."""
+    return F.transform(F.array(total(q)), use)[0]
+
+
 def devig_multiplicative(q: Column) -> Column:
-    return F.when(valid_market(q), F.transform(q, lambda x: x / total(q)))
+    return F.when(valid_market(q), _with_total(q, lambda t: F.transform(q, lambda x: x / t)))
 
 
 def devig_additive(q: Column) -> Column:
     """Null when an outcome would be at or below zero."""
-    fair = F.transform(q, lambda x: x - (total(q) - 1) / F.size(q))
+    fair = _with_total(q, lambda t: F.transform(q, lambda x: x - (t - 1) / F.size(q)))
     return F.when(valid_market(q) & F.forall(fair, lambda x: x > 0), fair)
 
 
@@ -60,15 +65,15 @@ def devig_power(q: Column, steps: int = 60) -> Column:
     powers = lambda k: F.transform(q, lambda x: F.pow(x, k))
     exponent = _bisect(1.0, 20.0, steps, lambda k: total(powers(k)) > 1)
     raised = F.transform(F.array(exponent), powers)[0]
-    return F.when(valid_market(q), F.transform(F.array(raised), lambda p: F.transform(p, lambda x: x / total(p)))[0])
+    return F.when(valid_market(q), F.transform(F.array(raised), lambda p: _with_total(p, lambda t: F.transform(p, lambda x: x / t)))[0])
 
 
 def devig_shin(q: Column, steps: int = 60) -> Column:
     """Share of informed money by bisection on [0, 0.99], then scaled to one."""
-    fair = lambda z: F.transform(q, lambda x: (F.sqrt(z * z + 4 * (1 - z) * x * x / total(q)) - z) / (2 * (1 - z)))
+    fair = lambda z: _with_total(q, lambda t: F.transform(q, lambda x: (F.sqrt(z * z + 4 * (1 - z) * x * x / t) - z) / (2 * (1 - z))))
     share = _bisect(0.0, 0.99, steps, lambda z: total(fair(z)) > 1)
     raised = F.transform(F.array(share), fair)[0]
-    return F.when(valid_market(q), F.transform(F.array(raised), lambda p: F.transform(p, lambda x: x / total(p)))[0])
+    return F.when(valid_market(q), F.transform(F.array(raised), lambda p: _with_total(p, lambda t: F.transform(p, lambda x: x / t)))[0])
 
 
 DEVIG = {"multiplicative": devig_multiplicative, "additive": devig_additive, "power": devig_power, "shin": devig_shin}
@@ -85,6 +90,11 @@ def spread_across_methods(fairs: Column, i: int) -> Column:
     return F.greatest(*values) - F.least(*values)
 
 
+def sharp_fair(q: Column, method: str = "power") -> Column:
+    """Fair prices by the named method, by the multiplicative one where it fails."""
+    return F.coalesce(DEVIG[method](q), devig_multiplicative(q))
+
+
 def fee(p: Column) -> Column:
     return 0.07 * p * (1 - p)
 

@@ -11,34 +11,47 @@ from pyspark.sql import functions as F
 K_LOW, K_HIGH = 1.0, 100_000.0
 
 
+def strict_weight(age_days: Column, half_life: float) -> Column:
+    """As ``recency_weight``, but an observation from the future raises."""
+    ahead = F.raise_error(F.lit("negative age: an observation from the future is a leak")).cast("double")
+    return F.when(age_days < 0, ahead).otherwise(recency_weight(age_days, half_life))
+
+
 def recency_weight(age_days: Column, half_life: float) -> Column:
     """Halves every ``half_life`` days; the future counts as today."""
     return F.exp(-F.log(F.lit(2.0)) * F.greatest(age_days, F.lit(0)) / half_life)
 
 
-def eb_constants(tallies: DataFrame, trials: str, successes: str, thresholds: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def eb_constants(tallies: DataFrame, trials: str, successes: str, thresholds: Sequence[float], by: Sequence[str] = (), noise: str | None = None) -> DataFrame:
     """Method-of-moments prior per group and threshold: mean, var_true, k, n_eligible, saturated.
 
     Two passes for precision: means first, then squared deviations from them.
-    With fewer than two eligible rows, or no variance beyond the noise, k is at
-    its upper bound and ``saturated`` is set.
+    ``noise`` names a column with the sampling variance of each row's rate; it
+    is needed for rates that don't count yes and no.  With fewer than two
+    eligible rows, or no variance beyond the noise, k is at its upper bound and
+    ``saturated`` is set; a group without an eligible row has mean 0.
     """
     n, x = F.col(trials).cast("double"), F.col(successes).cast("double")
-    eligible = tallies.select(*by, n.alias("_n"), x.alias("_x"), F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("min_trials"))
-    eligible = eligible.where((F.col("_n") >= F.col("min_trials")) & (F.col("_n") > 0))
+    own = F.col(noise).cast("double") if noise else F.lit(None).cast("double")
+    each = tallies.select(*by, n.alias("_n"), x.alias("_x"), own.alias("_v"), F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("min_trials"))
+    fits = (F.col("_n") >= F.col("min_trials")) & (F.col("_n") > 0)
     group = [*by, "min_trials"]
-    means = eligible.groupBy(*group).agg((F.sum("_x") / F.sum("_n")).alias("mean"), F.count(F.lit(1)).alias("n_eligible"))
+    means = each.groupBy(*group).agg(
+        F.coalesce(F.try_divide(F.sum(F.when(fits, F.col("_x"))), F.sum(F.when(fits, F.col("_n")))), F.lit(0.0)).alias("mean"), F.count_if(fits).alias("n_eligible")
+    )
     same = [F.col(f"e.{c}").eqNullSafe(F.col(f"m.{c}")) for c in group]
-    joined = eligible.alias("e").join(means.alias("m"), same)
-    rate = F.col("e._x") / F.col("e._n")
+    joined = each.alias("e").join(means.alias("m"), same).withColumn("_fits", (F.col("e._n") >= F.col("e.min_trials")) & (F.col("e._n") > 0))
+    weight = F.when(F.col("_fits"), F.col("e._n"))
+    total = F.sum(weight)
     spread = joined.groupBy(*[F.col(f"m.{c}").alias(c) for c in group], "m.mean", "m.n_eligible").agg(
-        (F.sum(F.col("e._n") * F.pow(rate - F.col("m.mean"), 2)) / F.sum("e._n")).alias("variance"),
-        (F.sum(F.col("e._n") / F.col("e._n")) / F.sum("e._n")).alias("inverse"),
+        F.try_divide(F.sum(weight * F.pow(F.col("e._x") / F.col("e._n") - F.col("m.mean"), 2)), total).alias("variance"),
+        F.try_divide(F.sum(weight * F.col("e._v")), total).alias("given"), F.try_divide(F.count_if(F.col("_fits")), total).alias("inverse"),
     )
-    noise = F.col("mean") * (1 - F.col("mean"))
-    true = F.col("variance") - noise * F.col("inverse")
-    bad = (F.col("n_eligible") < 2) | (true <= 0)
-    k = F.when(bad, K_HIGH).otherwise(F.greatest(F.lit(K_LOW), F.least(F.lit(K_HIGH), F.try_divide(noise, true) - 1)))
+    binomial = F.col("mean") * (1 - F.col("mean"))
+    beyond = F.col("variance") - (F.col("given") if noise else binomial * F.col("inverse"))
+    bad = F.coalesce((F.col("n_eligible") < 2) | (beyond <= 0), F.lit(True))
+    k = F.when(bad, K_HIGH).otherwise(F.greatest(F.lit(K_LOW), F.least(F.lit(K_HIGH), F.try_divide(binomial, beyond) - 1)))
+    true = F.when(bad, 0.0).otherwise(beyond)
     return spread.select(*group, "n_eligible", "mean", true.alias("var_true"), k.alias("k"), bad.alias("saturated"))
 
 
@@ -73,7 +86,39 @@ def pooled_rates(df: DataFrame, levels: Sequence[str], successes: Column, trials
 def dirichlet_posterior(counts: Column, trials: Column, priors: Column, strengths: Column) -> Column:
     """Each bucket shrunk on its own, then scaled to one.  All arguments but ``trials`` are arrays."""
     raw = F.transform(F.arrays_zip(counts.alias("x"), priors.alias("m"), strengths.alias("k")), lambda b: (b["x"] + b["k"] * b["m"]) / (trials + b["k"]))
-    return F.transform(F.array(raw), lambda r: F.transform(r, lambda p: F.try_divide(p, F.aggregate(r, F.lit(0.0), lambda a, x: a + x))))[0]
+    return F.transform(F.array(raw), lambda r: _shares(r))[0]
+
+
+def _shares(raw: Column) -> Column:
+    whole = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
+    total = F.when(whole == 0, F.raise_error(F.lit("shrunk rates sum to zero")).cast("double")).otherwise(whole)
+    return F.transform(F.array(total), lambda t: F.transform(raw, lambda p: p / t))[0]
+
+
+def concentration(p: Column, trials: Column, strengths: Column) -> Column:
+    """How sure a posterior is: the harmonic mean of trials plus strengths, weighted by the shares; the trials if nothing weighs."""
+    parts = F.zip_with(p, strengths, lambda a, k: F.when(trials + k > 0, a / (trials + k)).otherwise(0.0))
+    inverse = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+    return F.when(inverse > 0, F.try_divide(F.lit(1.0), inverse)).otherwise(trials)
+
+
+def prior_lookup(cells: DataFrame, table: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """``cells`` with mean and label of the nearest populated prefix of ``pooled_rates``; raises where not even the root has trials."""
+    names = {d: f"_m{d}" for d in range(len(levels) + 1)}
+    out = cells.withColumn("_one", F.lit(1))
+    for d in range(len(levels), -1, -1):
+        at = table.where((F.col("depth") == d) & (F.col("n") > 0))
+        if d:
+            held = at.select(*[F.col(c).alias(f"_k{d}{i}") for i, c in enumerate(levels[:d])], F.col("rate").alias(names[d]))
+            out = out.join(held, [F.col(c).eqNullSafe(F.col(f"_k{d}{i}")) for i, c in enumerate(levels[:d])], "left")
+        else:
+            out = out.join(F.broadcast(at.select(F.lit(1).alias("_one"), F.col("rate").alias(names[0]))), "_one", "left")  # one row
+    mean = F.coalesce(*[F.col(names[d]) for d in range(len(levels), -1, -1)])
+    label = F.when(F.lit(False), "")
+    for d in range(len(levels), -1, -1):
+        label = label.when(F.col(names[d]).isNotNull(), F.concat_ws("|", *[F.col(c) for c in levels[:d]]) if d else F.lit("root"))
+    known = F.when(mean.isNull(), F.raise_error(F.lit("no populated prior")).cast("double")).otherwise(mean)
+    return out.select(*cells.columns, known.alias("mean"), label.alias("label"))
 
 
 def split_deltas(df: DataFrame, own: str, split: str, buckets: dict[str, Column], trials: Column) -> DataFrame:
@@ -89,13 +134,16 @@ def split_deltas(df: DataFrame, own: str, split: str, buckets: dict[str, Column]
     return joined.select(own, split, F.inline(rows))
 
 
-def weighted_least_squares(df: DataFrame, y: str, x1: str, x2: str, weight: str, by: Sequence[str] = ()) -> DataFrame:
+def weighted_least_squares(df: DataFrame, y: str, x1: str, x2: str, weight: str, by: Sequence[str] = (), least_weight: float = 0.0, least_rows: int = 30, least_r2: float = 0.10) -> DataFrame:
     """Intercept and two slopes per group from centred weighted moments, one aggregation and one join.
 
+    Rows of less than ``least_weight`` don't count; ``usable`` says whether
+    there are rows and fit enough, ``residual_sd`` how far the fit is off.
+
     With collinear or constant regressors the minimum-norm slopes are given;
     ``n`` and ``r2`` say whether to trust the fit.
     """
-    d = df.select(*by, *[F.col(c).cast("double").alias(a) for c, a in ((y, "_y"), (x1, "_1"), (x2, "_2"), (weight, "_w"))]).dropna(subset=["_y", "_1", "_2", "_w"])
+    d = df.select(*by, *[F.col(c).cast("double").alias(a) for c, a in ((y, "_y"), (x1, "_1"), (x2, "_2"), (weight, "_w"))]).dropna(subset=["_y", "_1", "_2", "_w"]).where(F.col("_w") >= least_weight)
     group = list(by) or ["_all"]
     d = d if by else d.withColumn("_all", F.lit(1))
     mean = d.groupBy(*group).agg(*[(F.sum(F.col("_w") * F.col(c)) / F.sum("_w")).alias(f"m{c}") for c in ("_y", "_1", "_2")], F.count(F.lit(1)).alias("n"))
@@ -104,7 +152,7 @@ def weighted_least_squares(df: DataFrame, y: str, x1: str, x2: str, weight: str,
     moment = lambda a, b: F.sum(F.col("_w") * dev[a] * dev[b])
     m = c.groupBy(*group, "n", "m_y", "m_1", "m_2").agg(
         moment("_1", "_1").alias("s11"), moment("_2", "_2").alias("s22"), moment("_1", "_2").alias("s12"),
-        moment("_1", "_y").alias("s1y"), moment("_2", "_y").alias("s2y"), moment("_y", "_y").alias("syy"),
+        moment("_1", "_y").alias("s1y"), moment("_2", "_y").alias("s2y"), moment("_y", "_y").alias("syy"), F.sum("_w").alias("sw"),
     )
     det = F.col("s11") * F.col("s22") - F.col("s12") * F.col("s12")
     full = det > 1e-12 * F.col("s11") * F.col("s22")
@@ -114,9 +162,12 @@ def weighted_least_squares(df: DataFrame, y: str, x1: str, x2: str, weight: str,
     b1 = F.when(full, F.try_divide(F.col("s22") * F.col("s1y") - F.col("s12") * F.col("s2y"), det)).otherwise(F.coalesce(F.col("s1y") * single, F.lit(0.0)))
     b2 = F.when(full, F.try_divide(F.col("s11") * F.col("s2y") - F.col("s12") * F.col("s1y"), det)).otherwise(F.coalesce(F.col("s2y") * single, F.lit(0.0)))
     fit = m.withColumns({"b1": b1, "b2": b2})
+    explained = F.col("b1") * F.col("s1y") + F.col("b2") * F.col("s2y")
+    r2 = F.try_divide(explained, F.col("syy"))
     return fit.select(
         *by, "n", (F.col("m_y") - F.col("b1") * F.col("m_1") - F.col("b2") * F.col("m_2")).alias("b0"), "b1", "b2",
-        F.try_divide(F.col("b1") * F.col("s1y") + F.col("b2") * F.col("s2y"), F.col("syy")).alias("r2"),
+        r2.alias("r2"), F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("syy") - explained, F.col("sw")))).alias("residual_sd"),
+        F.coalesce((F.col("n") >= least_rows) & (r2 >= least_r2), F.lit(False)).alias("usable"),
     )
 
 

@@ -35,11 +35,11 @@ def _newest(spark: SparkSession, base: str) -> DataFrame:
 
 
 _NEW = "g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY game_pk ORDER BY as_of_ts DESC, rec_id) AS rn FROM games WHERE game_pk IS NOT NULL) WHERE rn = 1)"
-_AT = "TIMESTAMPTZ '2021-06-08 18:00:00+00'"
+_AT = "TIMESTAMPTZ '2021-06-23 17:00:00+00'"
 
 
 def _at() -> F.Column:
-    return F.to_timestamp(F.lit("2021-06-08 18:00:00+00:00"))
+    return F.to_timestamp(F.lit("2021-06-23 17:00:00+00:00"))
 
 
 # -- tickers -------------------------------------------------------------------------------

@@ -43,7 +43,7 @@ def probable_pitchers(spark, base):
 
 
 _FEED = """WITH d AS (SELECT rec_id, payload, TRY_CAST(coalesce(json_extract_string(payload, '$.gameData.game.pk'), json_extract_string(payload, '$.gamePk')) AS BIGINT) AS game_pk,
-coalesce(json_extract_string(payload, '$.gameData.status.detailedState') IN ('Final', 'Game Over', 'Completed Early'), false) AS final FROM mlb_game_feed),
+coalesce(json_extract_string(payload, '$.gameData.status.statusCode') IN ('F', 'FR', 'FT', 'O', 'DI', 'CR', 'DC'), false) AS final FROM mlb_game_feed),
 s AS (SELECT rec_id, game_pk, final, 'home' AS side, json_extract(payload, '$.liveData.boxscore.teams.home') AS box FROM d WHERE game_pk IS NOT NULL UNION ALL
 SELECT rec_id, game_pk, final, 'away', json_extract(payload, '$.liveData.boxscore.teams.away') FROM d WHERE game_pk IS NOT NULL) """
 
@@ -71,32 +71,43 @@ def feed_officials(spark, base):
     return payloads.officials(_docs(spark, base))
 
 
-@query()
+_BOX = _FEED + """, k AS (SELECT s.*, unnest(json_keys(box, '$.players')) AS pid FROM s WHERE final), l AS (SELECT *, json_extract(box, '$.players.' || pid || '.stats.{0}') AS st FROM k)
+SELECT rec_id, game_pk, side, TRY_CAST(regexp_extract(pid, '(\\d+)$', 1) AS BIGINT) AS player_id, CAST(nullif(list_position(coalesce(CAST(json_extract(box, '$.battingOrder') AS VARCHAR[]), []), regexp_extract(pid, '(\\d+)$', 1)), 0) AS INTEGER) AS slot,
+{1} FROM l WHERE len(json_keys(st)) > 0"""
+
+
+@query(_BOX.format("batting", "TRY_CAST(json_extract_string(st, '$.hits') AS INTEGER) AS hits"))
 def feed_box_lines(spark, base):
     rows = payloads.box_lines(_docs(spark, base), "batting")
     return rows.withColumn("hits", F.try_element_at("stats", F.lit("hits")).try_cast("int")).drop("stats")
 
 
+@query(_BOX.format("pitching", "CASE WHEN regexp_full_match(json_extract_string(st, '$.inningsPitched'), '\\d+(\\.[012]?)?') THEN TRY_CAST(split_part(json_extract_string(st, '$.inningsPitched'), '.', 1) AS INTEGER) * 3 + coalesce(TRY_CAST(nullif(split_part(json_extract_string(st, '$.inningsPitched'), '.', 2), '') AS INTEGER), 0) END AS outs"))
+def feed_pitching_lines(spark, base):
+    rows = payloads.box_lines(_docs(spark, base), "pitching")
+    return rows.withColumn("outs", market.innings_to_outs(F.try_element_at("stats", F.lit("inningsPitched")))).drop("stats")
+
+
 @query(_FEED + """, i AS (SELECT rec_id, game_pk, unnest(CAST(json_extract(payload, '$.liveData.linescore.innings') AS JSON[])) AS x FROM d WHERE final AND game_pk IS NOT NULL),
 a AS (SELECT rec_id, count(*) AS innings, sum(coalesce(TRY_CAST(json_extract_string(x, '$.home.runs') AS INTEGER), 0)) AS h, sum(coalesce(TRY_CAST(json_extract_string(x, '$.away.runs') AS INTEGER), 0)) AS w,
 sum(coalesce(TRY_CAST(json_extract_string(x, '$.home.runs') AS INTEGER), 0)) FILTER (CAST(json_extract_string(x, '$.num') AS INTEGER) <= 5) AS h5,
 sum(coalesce(TRY_CAST(json_extract_string(x, '$.away.runs') AS INTEGER), 0)) FILTER (CAST(json_extract_string(x, '$.num') AS INTEGER) <= 5) AS w5,
-bool_or(CAST(json_extract_string(x, '$.num') AS INTEGER) = 5) AS five FROM i GROUP BY rec_id)
+bool_or(CAST(json_extract_string(x, '$.num') AS INTEGER) = 5) AS five, coalesce(json_extract_string(last(x), '$.home.runs') IS NOT NULL, false) AS half9 FROM i GROUP BY rec_id)
 SELECT d.rec_id, d.game_pk, CAST(coalesce(TRY_CAST(json_extract_string(payload, '$.liveData.linescore.teams.home.runs') AS INTEGER), h) AS INTEGER) AS home_runs,
 CAST(coalesce(TRY_CAST(json_extract_string(payload, '$.liveData.linescore.teams.away.runs') AS INTEGER), w) AS INTEGER) AS away_runs,
-CAST(CASE WHEN five THEN h5 END AS INTEGER) AS home_f5, CAST(CASE WHEN five THEN w5 END AS INTEGER) AS away_f5, CAST(coalesce(innings, 0) AS INTEGER) AS innings, coalesce(innings, 0) > 9 AS extras
-FROM d LEFT JOIN a USING (rec_id) WHERE final AND game_pk IS NOT NULL""")
+CAST(CASE WHEN five THEN h5 END AS INTEGER) AS home_f5, CAST(CASE WHEN five THEN w5 END AS INTEGER) AS away_f5, CAST(innings AS INTEGER) AS innings, innings > 9 AS extras, half9 AS home_half_9_played
+FROM d JOIN a USING (rec_id) WHERE final AND game_pk IS NOT NULL""")
 def feed_results(spark, base):
-    return payloads.results(_docs(spark, base)).drop("home_half_9_played")
+    return payloads.results(_docs(spark, base))
 
 
 @query("""WITH t AS (SELECT venue, time_bucket(INTERVAL 15 MINUTE, fetched_at) AS tick, count(payload) AS r, count(error) AS e FROM poll_archive GROUP BY ALL),
 i AS (SELECT *, r > e AS ok, sum((r > e)::INT) OVER (PARTITION BY venue ORDER BY tick) AS i FROM t), f AS (SELECT venue, i, count(*) AS n FROM i WHERE NOT ok GROUP BY ALL),
-w AS (SELECT venue, count(*) AS ticks, count(*) FILTER (NOT ok) AS failures, max(i) AS top FROM i GROUP BY venue)
-SELECT w.venue, ticks, failures, coalesce((SELECT max(n) FROM f WHERE f.venue = w.venue), 0) AS longest_failure,
+w AS (SELECT venue, count(*) AS ticks, count(*) FILTER (NOT ok) AS failures, max(i) AS top, epoch_us(max(tick) FILTER (ok)) AS last_success FROM i GROUP BY venue)
+SELECT w.venue, last_success, ticks, failures, coalesce((SELECT max(n) FROM f WHERE f.venue = w.venue), 0) AS longest_failure,
 coalesce((SELECT max(n) FROM f WHERE f.venue = w.venue AND f.i = w.top), 0) AS current_failure FROM w""")
 def venue_health(spark, base):
-    return health.venue_health(health.ticks(load(spark, base, "poll_archive"))).drop("last_success")
+    return health.venue_health(health.ticks(load(spark, base, "poll_archive"))).withColumn("last_success", F.unix_micros("last_success"))
 
 
 @query("""WITH e AS (SELECT DISTINCT CAST(strftime(game_date_local, '%m') AS INTEGER) AS month, game_pk FROM games WHERE game_date_local IS NOT NULL),
@@ -153,10 +164,29 @@ def venue_plan(spark, base):
     )
 
 
-@query()
+_SHARES = ("view", "signup", "error", "click", "purchase")
+_X = ", ".join(f"sum(w * (outcome = '{o}')::INT) AS x_{o}" for o in _SHARES)
+_EACH = lambda f: ", ".join(f(o) for o in _SHARES)
+
+
+@query(f"""WITH s AS (SELECT unnest([DATE '2024-01-15', DATE '2024-01-29']) AS snapshot), h AS (SELECT user_id AS player, CAST(ts AS DATE) AS day, CASE WHEN event_id % 2 = 0 THEN 'L' ELSE 'R' END AS opposing, event_type AS outcome FROM events),
+e AS (SELECT snapshot, player, unnest(['ALL', opposing]) AS split, outcome, exp(-ln(2) * date_diff('day', day, snapshot) / 30.0) AS w FROM h JOIN s ON day < snapshot), t AS (SELECT snapshot, player, split, sum(w) AS n, {_X} FROM e GROUP BY ALL),
+l AS (UNPIVOT (SELECT snapshot, player, n, {_EACH(lambda o: f"x_{o} AS {o}")} FROM t WHERE split = 'ALL') ON {_EACH(lambda o: o)} INTO NAME outcome VALUE x), mn AS (SELECT snapshot, outcome, sum(x) / sum(n) AS mean, count(*) AS c FROM l WHERE n >= 20 GROUP BY ALL),
+vr AS (SELECT snapshot, outcome, any_value(mean) AS mean, any_value(c) AS c, sum(n * pow(x / n - mean, 2)) / sum(n) - any_value(mean) * (1 - any_value(mean)) * count(*) / sum(n) AS tv FROM l JOIN mn USING (snapshot, outcome) WHERE n >= 20 GROUP BY ALL),
+kk AS (SELECT snapshot, outcome, mean, CASE WHEN c < 2 OR tv <= 0 THEN 100000.0 ELSE greatest(1.0, least(100000.0, mean * (1 - mean) / tv - 1)) END AS k FROM vr),
+r AS (SELECT l.snapshot, player, outcome, n, k, (x + k * mean) / (n + k) AS raw FROM l JOIN kk USING (snapshot, outcome)), a AS (SELECT *, raw / sum(raw) OVER (PARTITION BY snapshot, player) AS p FROM r),
+lg AS (UNPIVOT (SELECT snapshot, split, {_EACH(lambda o: f"sum(x_{o}) / sum(n) AS {o}")} FROM t GROUP BY ALL) ON {_EACH(lambda o: o)} INTO NAME outcome VALUE q), dl AS (SELECT b.snapshot, b.split, b.outcome, b.q - w.q AS delta FROM lg b JOIN lg w ON b.snapshot = w.snapshot AND b.outcome = w.outcome AND w.split = 'ALL' WHERE b.split <> 'ALL'),
+sl AS (UNPIVOT (SELECT snapshot, player, split, n, {_EACH(lambda o: f"x_{o} AS {o}")} FROM t WHERE split <> 'ALL') ON {_EACH(lambda o: o)} INTO NAME outcome VALUE x), sm AS (SELECT sl.*, greatest(a.p + delta, 1e-6) AS m0 FROM sl JOIN a USING (snapshot, player, outcome) JOIN dl USING (snapshot, split, outcome)),
+sn AS (SELECT *, m0 / sum(m0) OVER (PARTITION BY snapshot, player, split) AS m FROM sm), sp AS (SELECT *, (x + 2000 * m) / (n + 2000) AS raw FROM sn),
+fin AS (SELECT snapshot, player, 'ALL' AS split, outcome, n, k, p, 'league' AS label FROM a UNION ALL SELECT snapshot, player, split, outcome, n, 2000.0, raw / sum(raw) OVER (PARTITION BY snapshot, player, split), 'league+platoon' FROM sp),
+cc AS (SELECT *, 1 / sum(p / (n + k)) OVER (PARTITION BY snapshot, player, split) AS conc FROM fin)
+SELECT strftime(snapshot, '%Y-%m-%d') AS snapshot, player, split, outcome, round(p, 6) AS p, round(conc, 3) AS concentration, round(greatest(conc - n, 0) / conc, 5) AS prior_weight, label FROM cc""")
 def projected_rates(spark, base):
-    """Shrunken event-type rates per user from weekly snapshots of the events table."""
+    """Shrunken event-type rates per user at two snapshots of the events table, over all and by side."""
     e = load(spark, base, "events").select(
-        F.col("user_id").alias("player"), F.to_date("ts").alias("day"), F.pmod("event_id", F.lit(2)).cast("string").alias("opposing"), F.col("event_type").alias("outcome")
+        F.col("user_id").alias("player"), F.to_date("ts").alias("day"), F.when(F.pmod("event_id", F.lit(2)) == 0, "L").otherwise("R").alias("opposing"), F.col("event_type").alias("outcome")
+    )
+    got = projector.project(e, _SHARES, ["2024-01-15", "2024-01-29"], 30.0, [0.0, 20.0])
+    return got.select(
+        F.date_format("snapshot", "yyyy-MM-dd").alias("snapshot"), "player", "split", "outcome", F.round("p", 6).alias("p"), F.round("concentration", 3).alias("concentration"), F.round("prior_weight", 5).alias("prior_weight"), "label"
     )
-    return projector.project(e, ("view", "signup", "error", "click", "purchase"), ["2024-01-15", "2024-01-29"], 30.0, [0.0, 20.0])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import market
 from tidemark.operators import loading, nested, quality, rates, registry, temporal
+from tidemark.plans import contact, projector
 from tidemark.sources import load
 from tidemark.streaming import archive
 
@@ -138,15 +139,14 @@ def taxonomy_map_unknowns(spark, base):
     return e.groupBy("bucket", F.when(F.col("bucket").isNull(), F.col("event_type")).alias("unknown")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH base AS (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment, c_acctbal FROM customer),
-held AS (SELECT * FROM base WHERE c_custkey % 3 = 0), offered AS (SELECT * FROM base WHERE c_custkey % 2 = 0)
-SELECT o.c_custkey, o.segment, o.c_acctbal FROM offered o WHERE NOT EXISTS (SELECT 1 FROM held h
+@query("""WITH base AS (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment, c_acctbal FROM customer), held AS (SELECT * FROM base WHERE c_acctbal >= 5000)
+SELECT o.c_custkey, o.segment, o.c_acctbal FROM base o WHERE NOT EXISTS (SELECT 1 FROM held h
 WHERE h.c_custkey IS NOT DISTINCT FROM o.c_custkey AND h.segment IS NOT DISTINCT FROM o.segment)""")
 def idempotent_append(spark, base):
+    """All customers offered, twice each, to a table that holds those of a large balance."""
     c = load(spark, base, "customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"), "c_acctbal")
-    held = c.where("c_custkey % 3 = 0")
-    offered = c.where("c_custkey % 2 = 0")
-    twice = offered.withColumn("ordinal", F.lit(2)).unionByName(offered.withColumns({"c_acctbal": F.lit(0.0), "ordinal": F.lit(1)}))
+    held = c.where("c_acctbal >= 5000")
+    twice = c.withColumn("ordinal", F.lit(2)).unionByName(c.withColumns({"c_acctbal": F.lit(0.0), "ordinal": F.lit(1)}))
     spec = registry.TableSpec("customer", registry.Kind.FACT, ("c_custkey", "segment"), held.schema, known_at=None)
     return loading.rows_to_append(twice, held, spec, "ordinal")
 
@@ -309,13 +309,13 @@ def revision_count(spark, base):
     return quality.revisions(load(spark, base, "games"), ["game_pk"], "scheduled_start_ts")
 
 
-@query("""WITH k AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, user_id, event_type, sha256(event_type) AS h FROM events),
-l AS (SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(user_id AS VARCHAR) || ':' || sha256(event_type) AS line, user_id, event_type FROM events)
-SELECT day, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest, count(DISTINCT user_id) AS keys, count(DISTINCT event_type) AS bodies,
-CAST(sum(strlen(event_type)) AS BIGINT) AS n_bytes FROM l GROUP BY day""")
+@query("""WITH l AS (SELECT venue, epoch_us(time_bucket(INTERVAL 15 MINUTE, fetched_at)) AS tick_us, coalesce(key, '') || ':' || sha256(payload) AS line, key, payload FROM poll_archive WHERE error IS NULL AND payload IS NOT NULL)
+SELECT venue, tick_us, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest, count(DISTINCT key) AS keys, count(DISTINCT payload) AS bodies, CAST(sum(strlen(payload)) AS BIGINT) AS n_bytes FROM l GROUP BY ALL""")
 def digest_fingerprint(spark, base):
-    e = load(spark, base, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return quality.tick_fingerprint(e, ["day"], "user_id", "event_type")
+    """One digest per venue and tick: what a single poll brought."""
+    a = load(spark, base, "poll_archive").where("error is null and payload is not null")
+    ticks = a.withColumn("tick_us", F.unix_micros(F.window("fetched_at", "15 minutes")["start"]))
+    return quality.tick_fingerprint(ticks, ["venue", "tick_us"], "key", "payload")
 
 
 def _counts(spark, base) -> DataFrame:
@@ -331,11 +331,21 @@ def warehouse_fingerprint(spark, base):
     return quality.counts_fingerprint(_counts(spark, base))
 
 
-@query("""SELECT 'events' AS name, 'moved' AS change UNION ALL SELECT 'venues', 'removed'""")
+_STATE = """SELECT 'odds_api' AS name, count(*) AS n, max(as_of_ts) AS newest FROM odds_api WHERE {0} UNION ALL SELECT 'games', count(*), max(as_of_ts) FROM games WHERE {0} UNION ALL
+SELECT 'venues', count(*), max(as_of_ts) FROM venues WHERE {0} UNION ALL SELECT 'teams', count(*), NULL FROM teams"""
+
+
+@query(f"""WITH b AS (SELECT * FROM ({_STATE.format("as_of_ts < TIMESTAMPTZ '2021-06-20 00:00:00+00'")}) WHERE name <> 'odds_api'), a AS (SELECT * FROM ({_STATE.format("as_of_ts < TIMESTAMPTZ '2021-06-27 00:00:00+00'")}))
+SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.name IS NULL THEN 'added' WHEN a.name IS NULL THEN 'removed' ELSE 'moved' END AS change FROM a FULL JOIN b ON a.name = b.name
+WHERE a.name IS NULL OR b.name IS NULL OR a.n IS DISTINCT FROM b.n OR a.newest IS DISTINCT FROM b.newest""")
 def warehouse_diff(spark, base):
-    before = _counts(spark, base)
-    after = before.where("name <> 'venues'").withColumn("n", F.when(F.col("name") == "events", F.col("n") + 1).otherwise(F.col("n")))
-    return quality.counts_diff(before, after)
+    """What moved in a week: the tables as known on June 20 (before odds were taken in) and on June 27."""
+    def state(day: str, *names: str) -> DataFrame:
+        known = F.to_timestamp(F.lit(f"{day} 00:00:00+00:00"))
+        tables = {n: (load(spark, base, n).where(F.col("as_of_ts") < known), F.unix_micros("as_of_ts")) for n in names}
+        return quality.table_counts({**tables, "teams": (load(spark, base, "teams"), F.lit(None).cast("bigint"))})
+
+    return quality.counts_diff(state("2021-06-20", "games", "venues"), state("2021-06-27", "odds_api", "games", "venues"))
 
 
 @query("""WITH f AS (SELECT user_id, event_id, ts, event_type, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS c FROM events),
@@ -366,11 +376,11 @@ def topk_common(spark, base):
     return keys.orderBy(F.desc("n"), "key").limit(8)
 
 
-@query("""SELECT venue, count(DISTINCT file_path) AS files, count(*) AS records, count(payload) AS payloads, epoch_us(min(fetched_at)) AS first_us, epoch_us(max(fetched_at)) AS last_us
+@query("""SELECT venue, count(DISTINCT file_path) AS files, count(*) AS records, count(payload) AS payloads, CAST(sum(strlen(payload)) AS BIGINT) AS n_bytes, epoch_us(min(fetched_at)) AS first_us, epoch_us(max(fetched_at)) AS last_us
 FROM poll_archive GROUP BY venue""")
 def archive_stats(spark, base):
     return load(spark, base, "poll_archive").groupBy("venue").agg(
-        F.count_distinct("file_path").alias("files"), F.count(F.lit(1)).alias("records"), F.count("payload").alias("payloads"),
+        F.count_distinct("file_path").alias("files"), F.count(F.lit(1)).alias("records"), F.count("payload").alias("payloads"), F.sum(F.octet_length("payload")).alias("n_bytes"),
         F.unix_micros(F.min("fetched_at")).alias("first_us"), F.unix_micros(F.max("fetched_at")).alias("last_us"),
     )
 
@@ -392,12 +402,6 @@ def integrity_suite(spark, base):
     ])
 
 
-@query("SELECT true AS open, CAST(0 AS BIGINT) AS failed")
-def integrity_gate(spark, base):
-    o = load(spark, base, "orders")
-    return quality.gate(quality.suite([quality.check("a", quality.duplicates(o, ["o_orderkey"])), quality.check("b", o, "warning")]))
-
-
 # -- rates ----------------------------------------------------------------------------
 
 
@@ -411,12 +415,45 @@ def cell_rate_over_expected(spark, base):
     return got.select("l_suppkey", "n", r6(F.col("excess")).alias("excess"), r6(F.col("shrunk")).alias("shrunk"))
 
 
-@query("""SELECT CAST(floor(l_quantity / 2) AS BIGINT) AS ev, CASE WHEN l_discount < 0.02 THEN 'low' WHEN l_discount < 0.05 THEN 'mid' WHEN l_discount < 0.08 THEN 'high' ELSE 'top' END AS band,
-l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL""")
-def contact_table(spark, base):
-    d = F.col("l_discount")
-    band = F.when(d < 0.02, "low").when(d < 0.05, "mid").when(d < 0.08, "high").otherwise("top")
-    return load(spark, base, "lineitem").groupBy(F.floor(F.col("l_quantity") / 2).alias("ev"), band.alias("band"), "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+_OUT = ("A", "N", "R")
+_BALLS = """WITH balls AS (SELECT l_suppkey AS player, CASE WHEN l_linenumber < 7 THEN l_quantity * 2 END AS speed, l_discount * 1500 - 40 AS angle, l_returnflag AS outcome FROM lineitem),
+ms AS (SELECT *, CASE WHEN angle >= -90 AND angle < 0 THEN '-90..0' WHEN angle >= 0 AND angle < 10 THEN '0..10' WHEN angle >= 10 AND angle < 25 THEN '10..25' WHEN angle >= 25 AND angle < 50 THEN '25..50' WHEN angle >= 50 AND angle < 90 THEN '50..90' ELSE 'out_of_range' END AS band,
+CAST(floor(speed / 2) AS BIGINT) AS sb, CAST(floor(angle / 3) AS BIGINT) AS ab FROM balls), mm AS (SELECT * FROM ms WHERE speed IS NOT NULL AND angle IS NOT NULL),
+lg AS (SELECT avg((outcome = 'A')::INT) AS a, avg((outcome = 'N')::INT) AS n, avg((outcome = 'R')::INT) AS r FROM balls), rt AS (SELECT count(*) AS k, avg((outcome = 'A')::INT) AS a, avg((outcome = 'N')::INT) AS n, avg((outcome = 'R')::INT) AS r FROM mm),
+bd AS (SELECT band, count(*) AS k, (count(*) FILTER (outcome = 'A') + 40 * any_value(rt.a)) / (count(*) + 40) AS a, (count(*) FILTER (outcome = 'N') + 40 * any_value(rt.n)) / (count(*) + 40) AS n, (count(*) FILTER (outcome = 'R') + 40 * any_value(rt.r)) / (count(*) + 40) AS r FROM mm, rt GROUP BY band),
+cl AS (SELECT mm.band, sb, count(*) AS k, (count(*) FILTER (outcome = 'A') + 40 * any_value(bd.a)) / (count(*) + 40) AS a, (count(*) FILTER (outcome = 'N') + 40 * any_value(bd.n)) / (count(*) + 40) AS n, (count(*) FILTER (outcome = 'R') + 40 * any_value(bd.r)) / (count(*) + 40) AS r FROM mm JOIN bd USING (band) GROUP BY 1, 2) """
+
+
+def _balls(spark, base) -> DataFrame:
+    line = load(spark, base, "lineitem")
+    return line.select(F.col("l_suppkey").alias("player"), F.when(F.col("l_linenumber") < 7, F.col("l_quantity") * 2).alias("speed"), (F.col("l_discount") * 1500 - 40).alias("angle"), F.col("l_returnflag").alias("outcome"))
+
+
+def _p(*names: str) -> list[Column]:
+    return [r6(F.col("p")[i]).alias(n) for i, n in enumerate(names)]
+
+
+@query(_BALLS + "SELECT 'cell' AS level, band, sb AS speed, k AS n, round(a, 6) AS pa, round(n, 6) AS pn, round(r, 6) AS pr FROM cl UNION ALL SELECT 'band', band, NULL, k, round(a, 6), round(n, 6), round(r, 6) FROM bd UNION ALL SELECT 'all', NULL, NULL, k, round(a, 6), round(n, 6), round(r, 6) FROM rt")
+def contact_fit(spark, base):
+    return contact.contact_table(_balls(spark, base), _OUT).select("level", "band", "speed", "n", *_p("pa", "pn", "pr"))
+
+
+@query(_BALLS + """, pr AS (SELECT ms.player, CASE WHEN speed IS NULL THEN lg.a ELSE cl.a END AS a, CASE WHEN speed IS NULL THEN lg.n ELSE cl.n END AS n, CASE WHEN speed IS NULL THEN lg.r ELSE cl.r END AS r, speed IS NULL AS un FROM ms CROSS JOIN lg LEFT JOIN cl ON cl.band = ms.band AND cl.sb = ms.sb)
+SELECT player, round(avg(a), 6) AS pa, round(avg(n), 6) AS pn, round(avg(r), 6) AS pr, count(*) FILTER (un) AS unmeasured FROM pr GROUP BY player""")
+def contact_expected(spark, base):
+    balls = _balls(spark, base)
+    got = contact.predict(balls, contact.contact_table(balls, _OUT), contact.marginal_shares(balls, _OUT))
+    shares = contact.expected_shares(got, ["player"], F.lit(1.0), 3)
+    odd = got.groupBy("player").agg(F.count_if(F.col("source") == "marginal").alias("unmeasured"))
+    return shares.join(odd, "player").select("player", *_p("pa", "pn", "pr"), "unmeasured")
+
+
+@query(_BALLS + """, ct AS (SELECT sb, ab, count(*) AS k FROM mm GROUP BY 1, 2), md AS (SELECT *, (ab + 0.5) * 3 AS ang FROM ct), mb AS (SELECT *, CASE WHEN ang >= -90 AND ang < 0 THEN '-90..0' WHEN ang >= 0 AND ang < 10 THEN '0..10' WHEN ang >= 10 AND ang < 25 THEN '10..25' WHEN ang >= 25 AND ang < 50 THEN '25..50' WHEN ang >= 50 AND ang < 90 THEN '50..90' ELSE 'out_of_range' END AS band FROM md)
+SELECT mb.sb AS speed_bucket, mb.ab AS angle_bucket, mb.k AS n, round(coalesce(cl.a, bd.a, rt.a), 6) AS pa, round(coalesce(cl.n, bd.n, rt.n), 6) AS pn, round(coalesce(cl.r, bd.r, rt.r), 6) AS pr FROM mb LEFT JOIN cl ON cl.band = mb.band AND cl.sb = mb.sb LEFT JOIN bd ON bd.band = mb.band CROSS JOIN rt""")
+def contact_cells(spark, base):
+    balls = _balls(spark, base)
+    got = contact.cell_rows(balls, contact.contact_table(balls, _OUT), contact.marginal_shares(balls, _OUT))
+    return got.select("speed_bucket", "angle_bucket", "n", *_p("pa", "pn", "pr"))
 
 
 @query("""SELECT b.bucket, round(coalesce(count(l_returnflag) FILTER (l_returnflag = b.bucket) / nullif(count(*), 0), 0.25), 6) AS share
@@ -454,6 +491,29 @@ def eb_constants(spark, base):
     return rates.eb_constants(u, "n", "x", [0, 20]).select("min_trials", "n_eligible", r6(F.col("mean")).alias("mean"), F.round("k", 2).alias("k"))
 
 
+@query(f"""WITH t AS (SELECT u.*, x / n * (1 - x / n) / (4 * n) AS v FROM ({_PER_USER}) u WHERE n >= 20), m AS (SELECT sum(x) / sum(n) AS mean FROM t),
+w AS (SELECT any_value(mean) AS mean, sum(n * pow(x / n - mean, 2)) / sum(n) - sum(n * v) / sum(n) AS tv FROM t, m)
+SELECT round(mean, 6) AS mean, round(greatest(tv, 0), 8) AS var_true, round(CASE WHEN tv <= 0 THEN 100000 ELSE greatest(1, least(100000, mean * (1 - mean) / tv - 1)) END, 2) AS k FROM w""")
+def eb_supplied_noise(spark, base):
+    """Rates with a sampling variance of their own: a quarter of the binomial one."""
+    u = load(spark, base, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "purchase").alias("x"))
+    u = u.withColumn("v", projector.sampling_variance(F.col("x"), F.col("n")) / 4)
+    return rates.eb_constants(u, "n", "x", [20], noise="v").select(r6(F.col("mean")).alias("mean"), F.round("var_true", 8).alias("var_true"), F.round("k", 2).alias("k"))
+
+
+@query("""WITH b AS (SELECT c_nationkey, CAST(n_regionkey AS VARCHAR) AS region, CAST(n_nationkey AS VARCHAR) AS nation, (c_mktsegment = 'BUILDING')::INT AS hit FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey NOT IN (3, 7) AND n_regionkey <> 2),
+r0 AS (SELECT sum(hit) / count(*) AS rate FROM b), r1 AS (SELECT region, (sum(hit) + 40 * (SELECT rate FROM r0)) / (count(*) + 40) AS rate FROM b GROUP BY 1), r2 AS (SELECT region, nation, (sum(hit) + 40 * any_value(r1.rate)) / (count(*) + 40) AS rate FROM b JOIN r1 USING (region) GROUP BY 1, 2)
+SELECT CAST(n_nationkey AS VARCHAR) AS nation, round(coalesce(r2.rate, r1.rate, r0.rate), 6) AS mean, CASE WHEN r2.rate IS NOT NULL THEN n.n_regionkey || '|' || n_nationkey WHEN r1.rate IS NOT NULL THEN CAST(n.n_regionkey AS VARCHAR) ELSE 'root' END AS label
+FROM nation n CROSS JOIN r0 LEFT JOIN r1 ON r1.region = CAST(n_regionkey AS VARCHAR) LEFT JOIN r2 ON r2.nation = CAST(n_nationkey AS VARCHAR)""")
+def prior_lookup(spark, base):
+    """Nations without customers of their own fall back to their region, or to all."""
+    nation = load(spark, base, "nation").select(F.col("n_regionkey").cast("string").alias("region"), F.col("n_nationkey").cast("string").alias("nation"))
+    c = load(spark, base, "customer").join(nation, F.col("c_nationkey").cast("string") == F.col("nation")).where("nation not in ('3', '7') and region <> '2'")
+    table = rates.pooled_rates(c, ["region", "nation"], (F.col("c_mktsegment") == "BUILDING").cast("int"), F.lit(1), 40.0)
+    got = rates.prior_lookup(nation, table, ["region", "nation"])
+    return got.select("nation", r6(F.col("mean")).alias("mean"), "label")
+
+
 _TYPES = ("view", "signup", "error", "click", "purchase")
 
 
@@ -513,48 +573,59 @@ def american_decimal(spark, base):
 
 
 def _markets(spark, base) -> DataFrame:
-    """rec_id, b, m, q: implied probabilities of two-way head-to-head markets."""
+    """rec_id, b, m, q: implied probabilities of every two-way market."""
     books = load(spark, base, "odds_api").select("rec_id", F.posexplode("bookmakers").alias("b", "book"))
-    m = books.select("rec_id", "b", F.posexplode("book.markets").alias("m", "market")).where("market.key = 'h2h' and size(market.outcomes) = 2")
+    m = books.select("rec_id", "b", F.posexplode("book.markets").alias("m", "market")).where("size(market.outcomes) = 2")
     return m.select("rec_id", "b", "m", F.transform("market.outcomes", lambda o: market.american_to_prob(o["price"])).alias("q"))
 
 
-_Q = """WITH o AS (SELECT rec_id, unnest(bookmakers) AS bk, generate_subscripts(bookmakers, 1) - 1 AS b FROM odds_api),
+_Q = """WITH RECURSIVE o AS (SELECT rec_id, unnest(bookmakers) AS bk, generate_subscripts(bookmakers, 1) - 1 AS b FROM odds_api),
 m AS (SELECT rec_id, b, unnest(bk.markets) AS mk, generate_subscripts(bk.markets, 1) - 1 AS m FROM o),
-p AS (SELECT rec_id, b, m, mk.outcomes[1].price AS p1, mk.outcomes[2].price AS p2 FROM m WHERE mk.key = 'h2h' AND len(mk.outcomes) = 2),
+p AS (SELECT rec_id, b, m, mk.outcomes[1].price AS p1, mk.outcomes[2].price AS p2 FROM m WHERE len(mk.outcomes) = 2),
 d AS (SELECT rec_id, CAST(b AS INT) AS b, CAST(m AS INT) AS m, CASE WHEN p1 >= 100 THEN 1 / (1 + p1 / 100) WHEN p1 <= -100 THEN 1 / (1 - 100 / p1) END AS q1,
 CASE WHEN p2 >= 100 THEN 1 / (1 + p2 / 100) WHEN p2 <= -100 THEN 1 / (1 - 100 / p2) END AS q2 FROM p),
 v AS (SELECT *, q1 > 0 AND q2 > 0 AND q1 + q2 > 1 AS ok FROM d) """
+_SHIN = """, u AS (SELECT DISTINCT q1, q2, q1 + q2 AS s FROM v WHERE ok), z AS (SELECT q1, q2, s, 0 AS i, 0.0::DOUBLE AS lo, 0.99::DOUBLE AS hi FROM u UNION ALL SELECT q1, q2, s, i + 1, CASE WHEN f > 1 THEN mid ELSE lo END, CASE WHEN f > 1 THEN hi ELSE mid END FROM (
+SELECT *, (sqrt(mid * mid + 4 * (1 - mid) * q1 * q1 / s) - mid) / (2 * (1 - mid)) + (sqrt(mid * mid + 4 * (1 - mid) * q2 * q2 / s) - mid) / (2 * (1 - mid)) AS f FROM (SELECT *, (lo + hi) / 2 AS mid FROM z WHERE i < 60))),
+sh AS (SELECT q1, q2, s, (lo + hi) / 2 AS y FROM z WHERE i = 60), shin AS (SELECT q1, q2, a / (a + c) AS fair FROM (SELECT q1, q2, (sqrt(y * y + 4 * (1 - y) * q1 * q1 / s) - y) / (2 * (1 - y)) AS a, (sqrt(y * y + 4 * (1 - y) * q2 * q2 / s) - y) / (2 * (1 - y)) AS c FROM sh)) """
+_POWER = """, pz AS (SELECT DISTINCT q1, q2, 0 AS i, 1.0::DOUBLE AS lo, 20.0::DOUBLE AS hi FROM v WHERE ok UNION ALL SELECT q1, q2, i + 1, CASE WHEN f > 1 THEN mid ELSE lo END, CASE WHEN f > 1 THEN hi ELSE mid END FROM (
+SELECT *, pow(q1, mid) + pow(q2, mid) AS f FROM (SELECT *, (lo + hi) / 2 AS mid FROM pz WHERE i < 60))), pw AS (SELECT q1, q2, pow(q1, (lo + hi) / 2) / (pow(q1, (lo + hi) / 2) + pow(q2, (lo + hi) / 2)) AS fair FROM pz WHERE i = 60) """
+
+
+def _first(spark, base, method: str, digits: int = 6) -> DataFrame:
+    return _markets(spark, base).select("rec_id", "b", "m", F.round(F.get(market.DEVIG[method](F.col("q")), F.lit(0)), digits).alias("fair"))
 
 
 @query(_Q + "SELECT rec_id, b, m, CASE WHEN ok THEN round(q1 / (q1 + q2), 6) END AS fair FROM v")
 def devig_multiplicative(spark, base):
-    return _markets(spark, base).select("rec_id", "b", "m", r6(F.get(market.devig_multiplicative(F.col("q")), F.lit(0))).alias("fair"))
+    return _first(spark, base, "multiplicative")
 
 
 @query(_Q + """SELECT rec_id, b, m, CASE WHEN ok AND q1 > (q1 + q2 - 1) / 2 AND q2 > (q1 + q2 - 1) / 2 THEN round(q1 - (q1 + q2 - 1) / 2, 6) END AS fair FROM v""")
 def devig_additive(spark, base):
-    return _markets(spark, base).select("rec_id", "b", "m", r6(F.get(market.devig_additive(F.col("q")), F.lit(0))).alias("fair"))
+    return _first(spark, base, "additive")
 
 
-@query(_Q + """SELECT rec_id, b, m, CASE WHEN ok AND q1 > (q1 + q2 - 1) / 2 AND q2 > (q1 + q2 - 1) / 2 THEN round(q1 - (q1 + q2 - 1) / 2, 5) END AS fair FROM v WHERE q1 - (q1 + q2 - 1) / 2 > 0""")
+@query(_Q + _SHIN + "SELECT rec_id, b, m, round(shin.fair, 5) AS fair FROM v LEFT JOIN shin ON v.ok AND v.q1 = shin.q1 AND v.q2 = shin.q2")
 def devig_shin(spark, base):
-    """On two outcomes Shin's method equals the additive one, which the SQL uses."""
-    first, second = F.get("q", F.lit(0)), F.get("q", F.lit(1))
-    m = _markets(spark, base).where(first - (first + second - 1) / 2 > 0)
-    additive = market.devig_additive(F.col("q"))
-    return m.select("rec_id", "b", "m", F.when(additive.isNotNull(), F.round(F.get(market.devig_shin(F.col("q")), F.lit(0)), 5)).alias("fair"))
+    return _first(spark, base, "shin", 5)
 
 
-@query()
+@query(_Q + _POWER + "SELECT rec_id, b, m, round(pw.fair, 5) AS fair FROM v LEFT JOIN pw ON v.ok AND v.q1 = pw.q1 AND v.q2 = pw.q2")
 def devig_power(spark, base):
-    return _markets(spark, base).select("rec_id", "b", "m", r6(F.get(market.devig_power(F.col("q")), F.lit(0))).alias("fair"))
+    return _first(spark, base, "power", 5)
 
 
-@query()
+@query(_Q + _SHIN + _POWER + """, w AS (SELECT v.*, CASE WHEN ok THEN v.q1 / (v.q1 + v.q2) END AS mu, CASE WHEN ok AND v.q1 > (v.q1 + v.q2 - 1) / 2 AND v.q2 > (v.q1 + v.q2 - 1) / 2 THEN v.q1 - (v.q1 + v.q2 - 1) / 2 END AS ad, shin.fair AS sf, pw.fair AS pf
+FROM v LEFT JOIN shin ON ok AND v.q1 = shin.q1 AND v.q2 = shin.q2 LEFT JOIN pw ON ok AND v.q1 = pw.q1 AND v.q2 = pw.q2) SELECT rec_id, b, m, round(greatest(mu, ad, sf, pf) - least(mu, ad, sf, pf), 5) AS spread FROM w""")
 def devig_spread(spark, base):
     m = _markets(spark, base).withColumn("all", market.devig_all(F.col("q")))
-    return m.select("rec_id", "b", "m", r6(market.spread_across_methods(F.col("all"), 0)).alias("spread"))
+    return m.select("rec_id", "b", "m", F.round(market.spread_across_methods(F.col("all"), 0), 5).alias("spread"))
+
+
+@query(_Q + _POWER + "SELECT rec_id, b, m, round(coalesce(pw.fair, CASE WHEN ok THEN v.q1 / (v.q1 + v.q2) END), 5) AS fair FROM v LEFT JOIN pw ON v.ok AND v.q1 = pw.q1 AND v.q2 = pw.q2")
+def sharp_fair(spark, base):
+    return _markets(spark, base).select("rec_id", "b", "m", F.round(F.get(market.sharp_fair(F.col("q")), F.lit(0)), 5).alias("fair"))
 
 
 @query("""SELECT ticker, rec_id, round(0.07 * p * (1 - p), 6) AS fee, round(0.07 * p * (1 - p) + half + 0.005, 6) AS floor FROM (
@@ -589,13 +660,53 @@ def payload_split(spark, base):
     return a.groupBy("endpoint", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.try_parse_json("payload").isNull()).alias("cut"))
 
 
-@query("""WITH p AS (SELECT file_path, file_row, list_max(list_transform(CAST(coalesce(json_extract(payload, '$.orderbook.yes'), json_extract(payload, '$.orderbook.yes_levels')) AS DOUBLE[][]), lambda l: l[1])) AS y,
-list_max(list_transform(CAST(json_extract(payload, '$.orderbook.no') AS DOUBLE[][]), lambda l: l[1])) AS n FROM poll_archive WHERE endpoint = 'orderbook' AND json_valid(payload))
-SELECT file_path, file_row, CASE WHEN y > 0 AND y < 100 AND n > 0 AND n < 100 AND y <= 100 - n THEN round((y + 100 - n) / 200, 6) END AS mid FROM p""")
+_BOXES = (("orderbook_fp", 1), ("orderbook", 100), ("book", 100), ("", 100))
+
+
+def _levels_sql(names: tuple[str, ...]) -> str:
+    one = lambda box, n, scale: f"list_transform(CAST(json_extract(payload, '$.{box + '.' if box else ''}{n}') AS DOUBLE[][]), lambda l: list_transform(l, lambda v: v / {scale}))"
+    return "coalesce(" + ", ".join(one(box, n, scale) for box, scale in _BOXES for n in names) + ")"
+
+
+_LEVELS = f"""WITH p AS (SELECT file_path, file_row, {_levels_sql(archive.YES)} AS ys, {_levels_sql(archive.NO)} AS ns FROM poll_archive WHERE endpoint = 'orderbook' AND json_valid(payload)) """
+
+
+def _books(spark, base) -> DataFrame:
+    return load(spark, base, "poll_archive").where("endpoint = 'orderbook'").where(F.try_parse_json("payload").isNotNull())
+
+
+@query(_LEVELS + """, q AS (SELECT *, list_max(list_transform(ys, lambda l: l[1])) AS y, list_max(list_transform(ns, lambda l: l[1])) AS n FROM p)
+SELECT file_path, file_row, CASE WHEN y > 0 AND y < 1 AND n > 0 AND n < 1 AND y <= 1 - n + 1e-9 THEN round((y + 1 - n) / 2, 6) END AS mid FROM q""")
 def order_book_mid(spark, base):
-    """Books of either shape: cents under orderbook; decimal texts under orderbook_fp."""
-    a = load(spark, base, "poll_archive").where("endpoint = 'orderbook'").where(F.try_parse_json("payload").isNotNull())
-    return archive.book_mids(a).select("file_path", "file_row", r6(F.col("mid")).alias("mid"))
+    """Books of any shape: cents under orderbook, book or at the root; decimal texts under orderbook_fp."""
+    return archive.book_mids(_books(spark, base)).select("file_path", "file_row", r6(F.col("mid")).alias("mid"))
+
+
+@query(_LEVELS + """SELECT file_path, file_row, len(ys) AS yes_levels, len(ns) AS no_levels, greatest(coalesce(len(ys), 0), coalesce(len(ns), 0)) AS deepest,
+round((coalesce(list_sum(list_transform(ys, lambda l: l[2])), 0) + coalesce(list_sum(list_transform(ns, lambda l: l[2])), 0)) * 100, 4) AS contracts FROM p""")
+def book_depth(spark, base):
+    d = archive.book_depths(_books(spark, base))
+    return d.select("file_path", "file_row", F.col("yes_levels").cast("bigint").alias("yes_levels"), F.col("no_levels").cast("bigint").alias("no_levels"), F.col("deepest").cast("bigint").alias("deepest"), F.round(F.col("contracts") * 100, 4).alias("contracts"))
+
+
+@query(_LEVELS + ", d AS (SELECT greatest(coalesce(len(ys), 0), coalesce(len(ns), 0)) AS deepest FROM p) SELECT deepest, count(*) AS n, round(count(*) / (SELECT count(*) FROM d), 6) AS share FROM d GROUP BY deepest")
+def depth_histogram(spark, base):
+    d = archive.book_depths(_books(spark, base)).groupBy(F.col("deepest").cast("bigint").alias("deepest")).agg(F.count(F.lit(1)).alias("n"))
+    whole = F.broadcast(d.agg(F.sum("n").alias("_all")).withColumn("_one", F.lit(1)))  # one row
+    return d.withColumn("_one", F.lit(1)).join(whole, "_one").select("deepest", "n", r6(F.col("n") / F.col("_all")).alias("share"))
+
+
+@query("""WITH p AS (SELECT file_path, file_row, CAST(coalesce(json_extract(payload, '$.bids.levels'), json_extract(payload, '$.bids')) AS JSON[]) AS bs, CAST(coalesce(json_extract(payload, '$.asks.levels'), json_extract(payload, '$.asks')) AS JSON[]) AS xs FROM poll_archive WHERE endpoint = 'book' AND json_valid(payload)),
+l AS (SELECT *, list_transform(bs, lambda x: CAST(coalesce(json_extract_string(x, '$.price'), json_extract_string(x, '$[0]')) AS DOUBLE)) AS b, list_transform(xs, lambda x: CAST(coalesce(json_extract_string(x, '$.price'), json_extract_string(x, '$[0]')) AS DOUBLE)) AS a FROM p)
+SELECT file_path, file_row, list_max(b) AS best_bid, list_min(a) AS best_ask, CAST(coalesce(len(b), 0) + coalesce(len(a), 0) AS BIGINT) AS levels FROM l""")
+def clob_best(spark, base):
+    """Best bid and ask of books whose levels are objects or pairs."""
+    books = load(spark, base, "poll_archive").where("endpoint = 'book'").where(F.try_parse_json("payload").isNotNull())
+    bids, asks = (archive.clob_levels(F.col("payload"), s) for s in ("bids", "asks"))
+    best = lambda c, f: f(F.transform(c, lambda x: x["price"]))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    got = books.select("file_path", "file_row", bids.alias("b"), asks.alias("a"))
+    return got.select("file_path", "file_row", best("b", F.array_max).alias("best_bid"), best("a", F.array_min).alias("best_ask"), (F.greatest(size("b"), F.lit(0)) + F.greatest(size("a"), F.lit(0))).cast("bigint").alias("levels"))
 
 
 @query("""SELECT venue_id, round(avg(t), 4) AS mean_f, count(*) AS hours FROM (SELECT venue_id, unnest(hourly.temperature_2m) AS t FROM open_meteo) WHERE t IS NOT NULL GROUP BY venue_id""")

@@ -1,5 +1,5 @@
 """Readers for the tables the queries work on."""
 
-from tidemark.sources.tables import load, settled, shared_dir, spread
+from tidemark.sources.tables import load, release, settled, shared_dir, spread
 
-__all__ = ["load", "settled", "shared_dir", "spread"]
+__all__ = ["load", "release", "settled", "shared_dir", "spread"]

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Codes of a game that is over.
+FINAL_CODES = ("F", "FR", "FT", "O", "DI", "CR", "DC")
 #: Texts that mean null in delimited files.
 NULL_TEXTS = ("", "null", "NULL", "NA", "nan")
 
@@ -46,7 +48,8 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType, required:
 def read_zipped_lines(spark: SparkSession, path: str, suffixes: Sequence[str] = (".EVA", ".EVN", ".EVE")) -> DataFrame:
     """file, member, ord, record, fields: the lines of text members of ZIP files, in order.
 
-    Members of other names and unreadable archives give no line; text is Latin-1.
+    Members of other names give no line; text is Latin-1.  An unreadable
+    archive gives one line of record ``unreadable``, to be counted.
     """
     blobs = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -56,6 +59,7 @@ def read_zipped_lines(spark: SparkSession, path: str, suffixes: Sequence[str] =
                 try:
                     box = zipfile.ZipFile(io.BytesIO(blob))
                 except zipfile.BadZipFile:
+                    yield pd.DataFrame({"file": [name], "member": [None], "ord": [0], "line": ["unreadable"]})
                     continue
                 for member in sorted(box.namelist()):
                     if member.upper().endswith(tuple(suffixes)):
@@ -64,7 +68,7 @@ def read_zipped_lines(spark: SparkSession, path: str, suffixes: Sequence[str] =
 
     lines = blobs.mapInPandas(run, "file string, member string, ord bigint, line string")
     fields = F.split("line", ",")
-    return lines.select("file", "member", "ord", fields[0].alias("record"), F.slice(fields, 2, 1000).alias("fields"))
+    return lines.select("file", "member", "ord", fields[0].alias("record"), F.slice(fields, 2, F.greatest(F.size(fields), F.lit(1))).alias("fields"))
 
 
 def carry_headers(lines: DataFrame) -> DataFrame:
@@ -137,7 +141,7 @@ def feed_documents(feed: DataFrame) -> DataFrame:
     """rec_id, game_pk, final, doc: one parse that all tables of a feed are selected from."""
     doc = feed.select("rec_id", F.from_json("payload", FULL_FEED).alias("doc"))
     pk = F.coalesce("doc.gameData.game.pk", "doc.gamePk").try_cast("bigint")
-    final = F.coalesce(F.col("doc.gameData.status.detailedState").isin("Final", "Game Over", "Completed Early"), F.lit(False))
+    final = F.coalesce(F.col("doc.gameData.status.statusCode").isin(*FINAL_CODES), F.lit(False))
     return doc.select("rec_id", pk.alias("game_pk"), final.alias("final"), "doc").where("game_pk is not null")
 
 
@@ -176,7 +180,7 @@ def box_lines(docs: DataFrame, kind: str) -> DataFrame:
 
 
 def results(docs: DataFrame) -> DataFrame:
-    """rec_id, game_pk, home and away runs, runs of the first five innings, innings, extras, home_half_9_played of final games.
+    """rec_id, game_pk, home and away runs, runs of the first five innings, innings, extras, home_half_9_played of final games with innings.
 
     The first-five sums are null unless a fifth inning is there; runs missing
     from the line score are summed from its innings.
@@ -186,7 +190,7 @@ def results(docs: DataFrame) -> DataFrame:
     runs = lambda xs, s: F.aggregate(xs, F.lit(0), lambda a, i: a + F.coalesce(i[s]["runs"].try_cast("int"), F.lit(0)))
     five = lambda s: F.when(F.exists(inn, lambda i: num(i) == 5), runs(F.filter(inn, lambda i: num(i) <= 5), s))
     total = lambda s: F.coalesce(F.col(f"doc.liveData.linescore.teams.{s}.runs").try_cast("int"), F.when(F.size(inn) > 0, runs(inn, s)))
-    return docs.where("final").select(
+    return docs.where("final").where(F.size(inn) > 0).select(
         "rec_id", "game_pk", total("home").alias("home_runs"), total("away").alias("away_runs"), five("home").alias("home_f5"), five("away").alias("away_f5"),
         F.size(inn).alias("innings"), (F.size(inn) > 9).alias("extras"), F.coalesce(F.try_element_at(inn, F.lit(-1))["home"]["runs"].isNotNull(), F.lit(False)).alias("home_half_9_played"),
     )

@@ -44,13 +44,28 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(shared_dir, "_local", None)
         if base is None:
             base = shared_dir._local = tempfile.mkdtemp(prefix="tidemark-")
             atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+#: Paths given out in this process, for ``release``.
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what this process has put into the shared folder; frames that were read from it can't be used any more.  Returns the paths that were there."""
+    gone = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def settled(df: DataFrame, label: str) -> DataFrame:

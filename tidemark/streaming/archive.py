@@ -21,22 +21,46 @@ def write_archive(records: DataFrame, path: str) -> None:
     records.select("*", day).repartition("venue", "dt").write.mode("append").partitionBy("venue", "dt").option("compression", "zstd").parquet(path)
 
 
+#: Names a side goes by, in any of the containers.
+YES, NO = ("yes", "yes_levels", "yes_dollars"), ("no", "no_levels", "no_dollars")
+
+
 def book_levels(payload: Column) -> tuple[Column, Column]:
     """(yes, no) levels in dollars of an order book of any known shape.
 
-    Whole cents under ``orderbook`` or ``book``, decimal texts under
-    ``orderbook_fp``; sides may be named yes or yes_levels.  Null: unreadable,
-    which is not the same as empty.
+    Whole cents under ``orderbook`` or ``book`` or at the root, decimal texts
+    under ``orderbook_fp``.  Null: unreadable, which is not the same as empty.
     """
     def side(*names: str) -> Column:
         found = []
-        for box, scale in (("orderbook_fp", 1.0), ("orderbook", 100.0), ("book", 100.0)):
+        for box, scale in (("orderbook_fp.", 1.0), ("orderbook.", 100.0), ("book.", 100.0), ("", 100.0)):
             for n in names:
-                levels = F.from_json(F.get_json_object(payload, f"$.{box}.{n}"), LEVELS)
+                levels = F.from_json(F.get_json_object(payload, f"$.{box}{n}"), LEVELS)
                 found.append(F.transform(levels, lambda x: F.transform(x, lambda v: v.try_cast("double") / scale)))
         return F.coalesce(*found)
 
-    return side("yes", "yes_levels"), side("no", "no_levels")
+    return side(*YES), side(*NO)
+
+
+def book_depths(books: DataFrame) -> DataFrame:
+    """``books`` with yes_levels, no_levels (null: unreadable), deepest, contracts (summed sizes, in the unit of the levels)."""
+    yes, no = book_levels(F.col("payload"))
+    read = books.withColumns({"_yes": yes, "_no": no})
+    count = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
+    size = lambda c: F.coalesce(F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + F.coalesce(F.get(x, F.lit(1)), F.lit(0.0))), F.lit(0.0))
+    deepest = F.greatest(F.coalesce(count("_yes"), F.lit(0)), F.coalesce(count("_no"), F.lit(0)))
+    return read.select(*books.columns, count("_yes").alias("yes_levels"), count("_no").alias("no_levels"), deepest.alias("deepest"), (size("_yes") + size("_no")).alias("contracts"))
+
+
+def clob_levels(payload: Column, side: str) -> Column:
+    """Levels (price, size) of a side whose levels are objects or pairs; null if absent."""
+    text = F.coalesce(F.get_json_object(payload, f"$.{side}.levels"), F.get_json_object(payload, f"$.{side}"))
+    objects = F.from_json(text, "array<struct<price:string,size:string>>")
+    pairs = F.from_json(text, LEVELS)
+    number = lambda c: c.try_cast("double")
+    level = lambda p, s: F.struct(number(p).alias("price"), number(s).alias("size"))
+    of_pairs = F.transform(pairs, lambda x: level(F.get(x, F.lit(0)), F.get(x, F.lit(1))))
+    return F.when(text.rlike(r"^\[\s*\["), of_pairs).otherwise(F.transform(objects, lambda x: level(x["price"], x["size"])))
 
 
 def book_mids(books: DataFrame) -> DataFrame:
@@ -103,10 +127,11 @@ def stream_latest(spark: SparkSession, path: str, schema: StructType, key: Seque
 
 
 def stream_window_counts(spark: SparkSession, path: str, schema: StructType, at: str, kind: str, width: str) -> DataFrame:
-    """window_start, kind, n: tumbling counts with a watermark, written when windows close.
+    """window_start, kind, n: tumbling counts with a watermark; every batch writes the windows it changed.
 
-    The watermark is wider than the data's disorder; what is still open when
-    the input ends is emitted too, through complete mode.
+    The watermark, wider than the data's disorder, lets closed windows leave the
+    state.  Counts only grow, so the greatest of a window's rows is its count,
+    whether it has closed or not; a batch that is repeated replaces its folder.
     """
     out, mark = shared_dir(spark, "windows"), shared_dir(spark, "windows-mark")
     counts = (
@@ -117,9 +142,9 @@ def stream_window_counts(spark: SparkSession, path: str, schema: StructType, at:
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.date_format("w.start", "yyyy-MM-dd").alias("window_start"), kind, "n")
     )
-    write = lambda batch, number: batch.write.mode("overwrite").parquet(out)
-    _run(counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", mark).trigger(availableNow=True).start())
-    return spark.read.parquet(out)
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    _run(counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", mark).trigger(availableNow=True).start())
+    return spark.read.schema(counts.schema).parquet(out).groupBy("window_start", kind).agg(F.max("n").alias("n"))
 
 
 def stream_frozen(spark: SparkSession, path: str, schema: StructType, key: str, at: str, tie: str, digest: str) -> DataFrame:
