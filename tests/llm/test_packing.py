@@ -54,3 +54,14 @@ def test_best_fit():
     names, fresh = pack_window([5, 5, 3, 7, 2, 8], 10, _Open(10), 0)
     assert fresh == 3
     assert names == [2, 2, 1, 1, 0, 0]
+
+
+def test_texts_far_apart_share_no_container(spark):
+    docs = spark.createDataFrame([(i, "ball " * (i % 13 + 1)) for i in range(900)], "doc_id long, text string")
+    curve = {r.doc_id: r.curve for r in measure(docs).collect()}
+    place = {d: p for p, d in enumerate(sorted(curve, key=lambda d: (curve[d], d)))}
+    held = {}
+    for r in pack(docs, capacity=64, window_items=50, open_windows=2).collect():
+        held.setdefault(r.container_id, []).append(place[r.doc_id])
+    assert max(max(p) - min(p) for p in held.values()) < 100
+    assert len(held) <= -(-sum(i % 13 + 1 for i in range(900)) // 64) * 1.2 + 1

@@ -4,7 +4,8 @@ Space-filling-curve order: a text's hashed word vector is projected to a few
 dimensions, the grid cell's Hilbert key orders all texts, a range sort lays
 them out along the curve, and each task packs its stretch of the curve.  Packed
 neighbours are alike.  Within a stretch a window of neighbours is packed best
-fit, largest first, over the containers still open, so little room is lost.
+fit, largest first, over the containers that the last windows left open, so
+little room is lost and neighbours stay together.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from tidemark.sources import shared_dir, spread
 
 CAPACITY = 2048
 DIMENSIONS, BITS = 4, 8
-#: Items of the curve that are packed together; bounds the memory of a task, not the result.
-WINDOW_ITEMS = 4096
+#: Neighbours on the curve that are packed together, and how many windows a container stays open for: both are
+#: parameters of ``pack``, since they decide which texts may share a container.
+WINDOW_ITEMS, OPEN_WINDOWS = 4096, 4
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 _MEASURED = "doc_id bigint, n_tokens bigint, curve bigint"
@@ -123,6 +125,14 @@ class _Open:
             self.by_room[room].append(name)
             self.mask |= 1 << room
 
+    def close_before(self, name: int) -> None:
+        """Containers of an earlier number take nothing more."""
+        for room, names in enumerate(self.by_room):
+            if names and (kept := [n for n in names if n >= name]) != names:
+                self.by_room[room] = kept
+                if not kept:
+                    self.mask &= ~(1 << room)
+
     def take(self, need: int) -> tuple[int, int] | None:
         """(room, container) with the least room that holds ``need``."""
         rest = self.mask >> need
@@ -147,12 +157,14 @@ def pack_window(sizes: list[int], capacity: int, opened: _Open, fresh: int) -> t
     return out, fresh
 
 
-def _pack(capacity: int, window: int):
+def _pack(capacity: int, window: int, open_windows: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        opened, fresh, held = _Open(capacity), 0, []
+        opened, fresh, held, firsts = _Open(capacity), 0, [], []
 
         def flush(items: list[tuple]) -> pd.DataFrame:
             nonlocal fresh
+            firsts.append(fresh)
+            opened.close_before(firsts[max(0, len(firsts) - open_windows)])
             names, fresh = pack_window([x[3] for x in items], capacity, opened, fresh)
             rows = [(f"{part:06d}-{n:08d}", *x[1:]) for n, x in zip(names, items) for part in (x[0],)]
             return pd.DataFrame(rows, columns=["container_id", "doc_id", "start_token", "n_tokens"])
@@ -170,15 +182,20 @@ def _pack(capacity: int, window: int):
     return run
 
 
-def pack(documents: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, rows_per_task: int = 250_000) -> DataFrame:
+def pack(
+    documents: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, rows_per_task: int = 250_000,
+    window_items: int = WINDOW_ITEMS, open_windows: int = OPEN_WINDOWS,
+) -> DataFrame:
     """container_id, doc_id, start_token, n_tokens: every token of every text once.
 
     Texts of no tokens take no room and give no row.  A text longer than the
     capacity gives full pieces and a remainder that is packed like any other.
     Copies share a curve key; the sort goes on by doc_id, so a group of copies
     of any size is cut into tasks like the rest.  The measures are written down
-    before the range sort, which would else tokenise twice.
-    """
+    before the range sort, which would else tokenise twice.  A container takes
+    texts of ``open_windows`` windows of ``window_items`` neighbours, so texts
+    far apart on the curve never share one.
+    """
     spark = documents.sparkSession
     path = shared_dir(spark, "measured")
     measure(documents, vocabulary).write.parquet(path)
@@ -186,4 +203,4 @@ def pack(documents: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAP
     tasks = max(1, -(-measured.count() // rows_per_task))
     laid = measured.where("n_tokens > 0").repartitionByRange(tasks, "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
     laid = laid.select("doc_id", "n_tokens", F.spark_partition_id().alias("part"))
-    return laid.mapInPandas(_pack(capacity, WINDOW_ITEMS), "container_id string, doc_id bigint, start_token bigint, n_tokens bigint")
+    return laid.mapInPandas(_pack(capacity, window_items, open_windows), "container_id string, doc_id bigint, start_token bigint, n_tokens bigint")
