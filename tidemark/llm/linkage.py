@@ -577,7 +577,7 @@ def calibrate(nearest: DataFrame, labels: DataFrame) -> tuple[float, float]:
     one label, settles the fit where labels are few; without any, it is that curve.
     """
     binned = (
-        nearest.join(labels, "key")
+        nearest.hint("merge").join(labels, "key")
         .groupBy(F.least(F.floor(F.col("gap") * GAP_BINS), F.lit(GAP_BINS - 1)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("game_pk") == F.col("label")).alias("k"))
         .collect()

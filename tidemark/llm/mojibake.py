@@ -248,8 +248,11 @@ def text_tokens(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_id) of the texts with odd tokens, and (text_id, copies, token) of each distinct text; written down once for the steps that follow."""
     spark = documents.sparkSession
     rows, texts = shared_dir(spark, "rows"), shared_dir(spark, "tokens")
-    found = F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", SPACING, " "), F.lit(TOKEN), F.lit(0)))
-    hashed(documents).select("doc_id", "text_id", found.alias("tokens")).where(F.size("tokens") > 0).write.parquet(rows)
+    spaced = F.when(F.contains("text", F.lit("\xa0")), F.regexp_replace("text", SPACING, " ")).otherwise(F.col("text"))
+    found = F.array_distinct(F.regexp_extract_all(spaced, F.lit(TOKEN), F.lit(0)))
+    # a text of ASCII alone has as many bytes as characters, and no odd token
+    odd = hashed(documents.where(F.octet_length("text") > F.length("text")))
+    odd.select("doc_id", "text_id", found.alias("tokens")).where(F.size("tokens") > 0).write.parquet(rows)
     held = spark.read.parquet(rows)
     distinct = held.groupBy("text_id").agg(F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"))
     distinct.select("text_id", "copies", F.explode("tokens").alias("token")).write.parquet(texts)
