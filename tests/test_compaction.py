@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.jsontext import value_text
+from tidemark.operators import compaction
 from tidemark.operators.compaction import compact, first_fit_decreasing
 from tidemark.sources import load
 
@@ -98,3 +99,29 @@ def test_first_fit_decreasing():
 @pytest.mark.parametrize("a, b, same", [('{"a":1}', '{ "a" : 1.0 }', True), ("1", "true", False), ('"\\u00e9"', '"é"', True), ("1e2", "100", True), ("NaN", "NaN", None), ("1.5", "1.50", True)])
 def test_json_values(a, b, same):
     assert (value_text(a) == value_text(b) if same is not None else value_text(a)) == same
+
+
+def test_a_failed_run_leaves_nothing(spark, data, tmp_path, monkeypatch):
+    archive = load(spark, data, "poll_archive").limit(50)
+    target = tmp_path / "out"
+
+    def broken(*_):
+        raise RuntimeError("bins differ")
+
+    with monkeypatch.context() as m:
+        m.setattr(compaction, "_verify", broken)
+        with pytest.raises(RuntimeError, match="differ"):
+            compact(archive, str(target))
+    assert compaction.committed(spark, str(target)) is None and not list(target.glob("run-*"))
+    done = compact(archive, str(target))
+    assert compaction.committed(spark, str(target)) == done.path and done.data(spark).count() == done.rows_out
+
+
+def test_a_folder_of_files(spark, data, tmp_path):
+    rows = load(spark, data, "poll_archive").limit(40).drop("file_path", "file_row")
+    for k in range(3):
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    archive = compaction.read_folder(spark, str(tmp_path / "in"))
+    assert archive.select("file_path").distinct().count() == 3 and archive.select("file_path", "file_row").distinct().count() == 120
+    done = compact(archive)
+    assert (done.rows_in, done.files_in) == (120, 3) and done.rows_out <= 40 and done.files_out == 1

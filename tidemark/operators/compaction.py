@@ -4,14 +4,15 @@ The steps follow a frozen manifest: (1) one scan digests every record and is
 written down, so that every later step sees the same rows; (2) pieces of files
 are packed into bins, first-fit decreasing; (3) each bin is rewritten as one
 file, without the surplus copies; (4) counts and checksums of every bin are
-held against the manifest; (5) one rename commits.  Nothing but totals and
-counts of bins reaches the driver.
+held against the manifest; (5) a pointer file, created in one step or not at
+all, commits.  Nothing but totals and counts of bins reaches the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
@@ -160,11 +161,37 @@ class Compacted:
         return spark.read.parquet(f"{self.path}/plan")
 
 
-def _rename(spark: SparkSession, source: str, target: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path(target)) or not fs.rename(path(source), path(target)):
-        raise RuntimeError(f"the compaction could not be committed to {target}")
+def read_folder(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of Parquet files as an archive: its columns with the file and the row's place in it."""
+    return spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("file_row"))
+
+
+#: The file that says which run of a target counts.
+_POINTER = "CURRENT"
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _commit(spark: SparkSession, target: str, run: str) -> None:
+    """Point the target to a run.  The file is created only if there is none, so of two writers one fails, on object stores too."""
+    fs, pointer = _fs(spark, f"{target}/{_POINTER}")
+    try:
+        out = fs.create(pointer, False)
+    except Exception as e:
+        raise RuntimeError(f"the compaction could not be committed to {target}") from e
+    out.write(bytearray(run.encode()))
+    out.close()
+
+
+def committed(spark: SparkSession, target: str) -> str | None:
+    """The folder of the target's committed run; null if there is none."""
+    fs, pointer = _fs(spark, f"{target}/{_POINTER}")
+    if not fs.exists(pointer):
+        return None
+    return f"{target}/{spark.read.text(f'{target}/{_POINTER}').first().value}"
 
 
 def compact(archive: DataFrame, target: str | None = None, target_bytes: int = 128 << 20) -> Compacted:
@@ -177,7 +204,22 @@ def compact(archive: DataFrame, target: str | None = None, target_bytes: int = 1
     """
     spark = archive.sparkSession
     target = target or shared_dir(spark, "compacted")
-    stage = f"{target}.staging"
+    if committed(spark, target):
+        raise RuntimeError(f"{target} holds a committed compaction")
+    run = f"run-{uuid.uuid4().hex}"
+    stage = f"{target}/{run}"
+    try:
+        done = _rewrite(archive, stage, target_bytes)
+        _commit(spark, target, run)
+    except BaseException:
+        fs, path = _fs(spark, stage)
+        fs.delete(path, True)  # a failed run leaves nothing
+        raise
+    return done
+
+
+def _rewrite(archive: DataFrame, stage: str, target_bytes: int) -> Compacted:
+    spark = archive.sparkSession
     record_digests(archive).write.parquet(f"{stage}/manifest")
     digests = spark.read.parquet(f"{stage}/manifest")
     totals = digests.agg(
@@ -218,8 +260,7 @@ def compact(archive: DataFrame, target: str | None = None, target_bytes: int = 1
         written = spark.read.schema(StructType([*archive.schema.fields, StructField(_BIN, StringType())])).parquet(f"{stage}/data")
         rows_out = _verify(written, archive.columns, digests, surplus, plan)
     files_out = plan.select("bin").distinct().count()
-    _rename(spark, stage, target)
-    return Compacted(target, totals.files, files_out, totals.rows, rows_out)
+    return Compacted(stage, totals.files, files_out, totals.rows, rows_out)
 
 
 def _verify(written: DataFrame, columns: list[str], digests: DataFrame, surplus: DataFrame, plan: DataFrame) -> int:
