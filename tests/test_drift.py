@@ -125,3 +125,11 @@ def test_whole_numbers_with_a_point(spark):
     archive, fields = run(spark, [json.dumps(good(1)), json.dumps(good(2, n=7.0))])
     assert {r.file_path: r.n for r in consistent_table(archive, fields, "e").collect()} == {"f0": 11, "f1": 7}
     assert consistent_fields(archive, fields.limit(0)).count() == 0
+
+
+def test_profiles_see_whole_texts_and_lists():
+    from tidemark.operators.drift import value_shapes
+
+    assert set(value_shapes("a" * 300)) != set(value_shapes("a" * 150 + "7" + "a" * 149))  # the middle counts
+    assert set(value_shapes([1, "a"])) == {"ln1.0", "lsa1"} and set(value_shapes([["x"], [2.5]])) == {"llsa1", "lln1.1"}
+    assert tuple(value_shapes([])) == ("l",) and tuple(value_shapes(None)) == ("",) and tuple(value_shapes(True)) == ("b",)
